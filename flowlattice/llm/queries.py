@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlattice.llm import hyperlang, licences, toxicity
+from flowlattice.llm import hyperlang, licences, line_dedup, mixing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents")).drop("source", "k")
+
+
+def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -26,8 +34,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_licence_templates, op8_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op2_licence_templates, op6_source_mix, op7_line_windows, op8_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licence_templates": licences.oracle()}
+    return {"op2_licence_templates": licences.oracle(), "op6_source_mix": mixing.oracle(), "op7_line_windows": line_dedup.oracle()}
