@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlattice.llm import hyperlang, licences, line_dedup, mixing, toxicity
+from flowlattice.llm import bpe, hyperlang, licences, line_dedup, mixing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op2_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents")).drop("source", "k")
 
@@ -34,7 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_licence_templates, op6_source_mix, op7_line_windows, op8_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op2_licence_templates, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
