@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlattice.llm import bpe, hyperlang, licences, line_dedup, mixing, toxicity
+from flowlattice.llm import bpe, hyperlang, impact_search, licences, line_dedup, mixing, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op2_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(_table(spark, sf_dir, "pages"))
+
+
+def op4_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return impact_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -39,8 +48,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_licence_templates, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op2_licence_templates, op3_warc_captures, op4_impact_topk, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licence_templates": licences.oracle(), "op6_source_mix": mixing.oracle(), "op7_line_windows": line_dedup.oracle()}
+    return {"op2_licence_templates": licences.oracle(), "op3_warc_captures": warc.oracle(), "op4_impact_topk": impact_search.oracle(), "op6_source_mix": mixing.oracle(), "op7_line_windows": line_dedup.oracle()}
