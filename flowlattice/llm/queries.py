@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlattice.llm import bpe, hyperlang, impact_search, licences, line_dedup, mixing, toxicity, warc
+from flowlattice.llm import bpe, hyperlang, impact_search, licences, line_dedup, mixing, order_minhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.identify(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_licence_templates, op3_warc_captures, op4_impact_topk, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op2_licence_templates, op3_warc_captures, op4_impact_topk, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op9_order_minhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
