@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlattice.llm import bpe, hyperlang, impact_search, licences, line_dedup, mixing, order_minhash, toxicity, warc
+from flowlattice.llm import bpe, hyperlang, impact_search, licences, line_dedup, mixing, order_minhash, toxicity, warc, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_webp_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_licence_templates, op3_warc_captures, op4_impact_topk, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op9_order_minhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_webp_payloads, op2_licence_templates, op3_warc_captures, op4_impact_topk, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op9_order_minhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
