@@ -142,9 +142,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, unit(np.array([np.sum(sorted(v, key=tuple) if len(v) > 1 else v, axis=0) for v in (sums[x] for x in langs)])) if langs else np.zeros((0, DIM))
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score (the cosine, 0 at least), and every other column of ``docs`` but those two names."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``docs`` (but any of those names), then the language and its cosine (0 at least)."""
+    kept = [c for c in docs.columns if c not in names]
     schema = docs.select(kept).schema
     model = np.asarray(prototypes, np.float32)
 
@@ -163,10 +163,10 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
                 pred[lo + hit] = np.array(langs, object)[best[hit]]
                 score[lo + hit] = np.clip(cos[np.arange(hi - lo), best], 0, 1)[hit]
             cols = [b.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(kept).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(kept).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
