@@ -128,7 +128,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Rows that repeat id and text share their copies evenly.
     """
-    decided = taken(docs).groupBy("k").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0")
+    decided = taken(docs).groupBy("k").agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("copies")).where("copies > 0")
     decided = written(decided, "copies")
     names = docs.columns
     keyed = docs.select("*", order_key().alias("__mix_key"))
