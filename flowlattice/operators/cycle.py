@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import LISTED, rotated, severity, unique_in_order, window_micros
+from flowlattice.functions.materialise import written
 from flowlattice.operators.prepare import ENTITIES, prepare
 from flowlattice.plans.evidence import empty, evidence, parameters
 
@@ -25,12 +26,12 @@ def paths(tx: DataFrame, min_hops: int, max_hops: int, max_elapsed_hours: float)
     """Every account cycle once, by its first occurrence: accounts, steps (array of t, ord, ...), hops.
 
     Each hop is strictly later than the one before, none is later than W after the first, and no account comes twice.
-    Paths grow by joins on account and time bucket.  First: the smallest sequence of (t, ord).
+    Paths grow by joins on account and time bucket; every hop's paths are written, so that no hop is joined twice.  First: the smallest sequence of (t, ord).
     """
     width = window_micros(max_elapsed_hours)
     edges = prepare(tx, "cycle").where((F.col("sender") != F.col("receiver")) & (F.col("sender") != "") & (F.col("receiver") != ""))
     amount = F.col("paid") if "amount_paid" in tx.columns else F.col("received")
-    edges = pruned(edges.select("sender", "receiver", "t", "ord", "timestamp", amount.alias("amount"), "ref", *ENTITIES))
+    edges = written(pruned(edges.select("sender", "receiver", "t", "ord", "timestamp", amount.alias("amount"), "ref", *ENTITIES)), "edges")
     step = F.struct("t", "ord", "timestamp", "amount", "ref", *ENTITIES)
     nxt = edges.select(F.col("sender").alias("at"), F.col("receiver").alias("to"), F.col("t").alias("t_next"), F.floor(F.col("t") / width).alias("b"), step.alias("step"))
     live = edges.select(F.col("sender").alias("start"), F.col("receiver").alias("at"), F.col("t").alias("t0"), F.col("t").alias("t1"), F.array("sender", "receiver").alias("accounts"), F.array(step).alias("steps"))
@@ -39,11 +40,13 @@ def paths(tx: DataFrame, min_hops: int, max_hops: int, max_elapsed_hours: float)
         probe = live.withColumn("b", F.explode(F.array(F.floor(F.col("t1") / width), F.floor(F.col("t1") / width) + 1)))
         grown = probe.join(nxt, ["at", "b"]).where((F.col("t_next") > F.col("t1")) & (F.col("t_next") - F.col("t0") <= width))
         grown = grown.where((F.col("to") == F.col("start")) | ~F.array_contains("accounts", F.col("to")))
-        steps = F.concat("steps", F.array("step"))
+        if hops == max_hops:  # the last hop can but close
+            grown = grown.where(F.col("to") == F.col("start"))
+        grown = written(grown.select("start", "at", "to", "t0", "t_next", "accounts", F.concat("steps", F.array("step")).alias("steps")), "hops")
         if hops >= min_hops:
-            closed = grown.where(F.col("to") == F.col("start")).select("start", "accounts", steps.alias("steps"))
+            closed = grown.where(F.col("to") == F.col("start")).select("start", "accounts", "steps")
             found = closed if found is None else found.unionByName(closed)
-        live = grown.where(F.col("to") != F.col("start")).select("start", F.col("to").alias("at"), "t0", F.col("t_next").alias("t1"), F.concat("accounts", F.array("to")).alias("accounts"), steps.alias("steps"))
+        live = grown.where(F.col("to") != F.col("start")).select("start", F.col("to").alias("at"), "t0", F.col("t_next").alias("t1"), F.concat("accounts", F.array("to")).alias("accounts"), "steps")
     place = F.transform("steps", lambda s: F.struct(s["t"], s["ord"]))
     first = found.groupBy(rotated(F.col("accounts")).alias("key")).agg(F.min_by(F.struct("start", "accounts", "steps"), place).alias("x"))
     return first.select("x.*", F.size("x.steps").alias("hops"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import at_least_one, first_unique, severity, window_micros
+from flowlattice.functions.materialise import written
 from flowlattice.operators.prepare import prepare
 from flowlattice.plans.evidence import evidence, parameters
 
@@ -33,7 +34,7 @@ def slices(tx: DataFrame, outgoing: bool, min_distinct: int = 5, hours: float =
     account, party, amount = ("sender", "receiver", "paid") if outgoing else ("receiver", "sender", "received")
     rows = prepare(tx, "fan-out" if outgoing else "fan-in", row_references=True)
     rows = rows.withColumn("account", F.col(account)).withColumn("party", F.col(party)).withColumn("amount", F.col(amount))
-    best = best_windows(rows, width, min_distinct, min_count)
+    best = written(best_windows(rows, width, min_distinct, min_count), "windows")  # a row an account, used by all that follows
     return rows.join(best, "account").where(F.col("t").between(F.col("t_end") - width, F.col("t_end")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import LISTED, first_unique, severity, unique_in_order, window_micros
+from flowlattice.functions.materialise import written
 from flowlattice.operators.prefix import prefixes, within
 from flowlattice.operators.prepare import prepare
 from flowlattice.plans.evidence import empty, evidence, parameters
@@ -23,7 +24,7 @@ def gather_scatter(tx: DataFrame, min_distinct_incoming_senders: int = 3, min_di
     rows = prepare(tx, "gather-scatter")
     got = rows.select(F.col("receiver").alias("account"), F.col("sender").alias("party"), "timestamp", "t", "ord", F.col("received").alias("amount"), "ref")
     paid = rows.select(F.col("sender").alias("account"), F.col("receiver").alias("party"), "timestamp", "t", "ord", F.col("paid").alias("amount"), "ref")
-    ends, _ = prefixes(got, min_distinct_incoming_senders)
+    ends = written(prefixes(got, min_distinct_incoming_senders)[0], "ends")
     gather = within(got, ends).withColumn("phase", F.lit(0))
     scatter = paid.join(ends, "account").where((F.col("t") > F.col("t1")) & (F.col("t") <= F.col("t0") + width)).withColumn("phase", F.lit(1))
     order = ["t", "ord"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import LISTED, severity, unique_in_order, window_micros
+from flowlattice.functions.materialise import written
 from flowlattice.operators.prefix import prefixes, within
 from flowlattice.operators.prepare import ENTITIES, prepare
 from flowlattice.plans.evidence import empty, evidence, parameters
@@ -22,7 +23,7 @@ def scatter_gather(tx: DataFrame, min_intermediaries: int = 2, max_time_window_h
     width = window_micros(max_time_window_hours)
     rows = prepare(tx, "scatter-gather")
     paid = rows.withColumn("account", F.col("sender")).withColumn("party", F.col("receiver"))
-    ends, parties = prefixes(paid, min_intermediaries)
+    ends, parties = (written(x, "prefixes") for x in prefixes(paid, min_intermediaries))
     legs = parties.join(ends, "account").select(F.col("account").alias("origin"), F.col("party").alias("via"), "met", "r", (F.col("t0") + width).alias("until"))
     others = legs.groupBy("origin").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "via", "met"))), lambda x: F.struct(x["via"].alias("via"), x["met"].alias("met"))).alias("legs"))
     # a leg's payments lie within W of the receipt's bucket or the next

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import LABEL_COLUMNS, iso, unique_in_order
+from flowlattice.functions.materialise import written
 from flowlattice.plans.evidence import EVIDENCE
 
 
@@ -73,8 +74,8 @@ def apportioned(e: DataFrame) -> DataFrame:
 
 
 def aggregate(evidence: DataFrame) -> DataFrame:
-    """One assessment an account."""
-    e = apportioned(ordered(evidence))
+    """One assessment an account.  The ordered evidence, which is small against what it was found in, is written."""
+    e = apportioned(written(ordered(evidence), "evidence"))
     a = e.groupBy("primary_account_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("place"), *((F.to_json(f.name).alias(f.name) if f.name == "detector_parameters" else F.col(f.name)) for f in EVIDENCE), F.col("fresh"), F.col("share")))).alias("e"),
         F.sum(F.col("transaction_count") * F.col("share")).alias("transactions"), F.sum(F.col("total_amount") * F.col("share")).alias("amount"),

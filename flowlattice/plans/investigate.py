@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlattice.functions.materialise import written
 from flowlattice.operators.cycle import cycles
 from flowlattice.operators.fan import fan_in, fan_out
 from flowlattice.operators.gather_scatter import gather_scatter
@@ -49,7 +50,7 @@ def neighbourhood(tx: DataFrame, account_id: str, hops: int = 1) -> DataFrame:
     for _ in range(hops - 1):
         out = tx.join(near, tx["sender_account"] == near["account_id"], "left_semi").select(F.col("receiver_account").alias("account_id"))
         back = tx.join(near, tx["receiver_account"] == near["account_id"], "left_semi").select(F.col("sender_account").alias("account_id"))
-        near = near.unionByName(out).unionByName(back).distinct()
+        near = written(near.unionByName(out).unionByName(back).distinct(), "near")
     sent = tx.join(near, tx["sender_account"] == near["account_id"], "left_semi")
     rest = tx.join(near, tx["sender_account"] == near["account_id"], "left_anti")
     return sent.unionByName(rest.join(near, rest["receiver_account"] == near["account_id"], "left_semi"))
@@ -58,5 +59,5 @@ def neighbourhood(tx: DataFrame, account_id: str, hops: int = 1) -> DataFrame:
 def investigation(tx: DataFrame, account_id: str, typologies: Sequence[str] | None = None, features: DataFrame | None = None, hops: int = 3, generated_at: datetime | None = None) -> DataFrame:
     """The account's report: one row, or none without evidence."""
     own = None if features is None else features.where(F.col("account_id") == str(account_id))
-    found = detect(neighbourhood(tx, account_id, hops), own, typologies, DETECTORS)
+    found = detect(written(neighbourhood(tx, account_id, hops), "neighbourhood"), own, typologies, DETECTORS)
     return reports(scored(aggregate(found.where(F.col("primary_account_id") == str(account_id)))), generated_at)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import money, one_place
+from flowlattice.functions.materialise import written
 from flowlattice.operators import features as fe
 from flowlattice.operators.cycle import cycles
 from flowlattice.operators.fan import fan_in, fan_out, slices
@@ -319,7 +320,7 @@ def cycle_3_6(spark: SparkSession, d: str) -> DataFrame:
 def _both(spark: SparkSession, d: str) -> DataFrame:
     """Fan-out and fan-in evidence with references in one namespace, so that they can overlap; some of it twice."""
     tx = _tx(spark, d).withColumn("transaction_reference", F.concat(F.lit("T"), F.col("ord").cast("string")))
-    out, into = fan_out(tx), fan_in(tx)
+    out, into = written(fan_out(tx), "fan_out"), fan_in(tx)
     return union(out, into, out.where(F.col("primary_account_id").cast("long") % 2 == 0))
 
 
@@ -360,7 +361,7 @@ def evidence_union(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"{ASSESS} SELECT account AS primary_account_id, place::INTEGER AS place, round(share, 6) AS share, fresh FROM ap")
 def apportion_refs(spark: SparkSession, d: str) -> DataFrame:
-    return apportioned(ordered(_both(spark, d))).select("primary_account_id", "place", _r("share", 6), F.size("fresh").cast("long").alias("fresh"))
+    return apportioned(written(ordered(_both(spark, d)), "ordered")).select("primary_account_id", "place", _r("share", 6), F.size("fresh").cast("long").alias("fresh"))
 
 
 @_query(f"{ASSESS} SELECT account AS primary_account_id, evidence_count, typologies, start_time AS assessment_start_time, end_time AS assessment_end_time, round(amount, 4) AS total_suspicious_amount, transactions AS total_suspicious_transactions, raw AS raw_evidence_count, refs AS unique_transaction_reference_count FROM agg")
