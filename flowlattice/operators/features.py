@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import MICROS_PER_HOUR, micros, number, require
+from flowlattice.operators.streaming_median import streaming_medians
 from flowlattice.sources.feature_store import FeatureSet
 
 #: The order of the feature table's columns.
@@ -35,7 +36,7 @@ class FeatureConfig:
     round_amount_tolerance: float = 0.01
     rapid_gap_minutes: float = 60.0
     sample_rows: int = 2_000
-    #: "exact", "approximate" (bounded memory however many amounts an account has) or "none".
+    #: "exact", "approximate" (bounded memory however many amounts an account has), "streaming" (in order of arrival) or "none".
     median: str = "exact"
 
 
@@ -131,7 +132,10 @@ def _share(x: Column, n: Column) -> Column:
 def features(tx: DataFrame, accounts: DataFrame | None = None, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     """The feature table; ``accounts`` (account_number, bank_name, bank_id, entity_id, entity_name) fills the last columns."""
     e = account_events(tx, config)
-    f = counts_and_amounts(e, config.median).join(distinct_counts(e), "account_id", "left").join(bucket_counts(e), "account_id", "left").join(gaps(e, config.rapid_gap_minutes), "account_id", "left")
+    f = counts_and_amounts(e, "none" if config.median == "streaming" else config.median)
+    if config.median == "streaming":
+        f = f.drop("median_outgoing_amount", "median_incoming_amount").join(streaming_medians(e), "account_id", "left")
+    f = f.join(distinct_counts(e), "account_id", "left").join(bucket_counts(e), "account_id", "left").join(gaps(e, config.rapid_gap_minutes), "account_id", "left")
     names = ("bank_name", "bank_id", "entity_id", "entity_name")
     if accounts is None:
         f = f.select("*", *(F.lit(None).cast("string").alias(c) for c in names))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlattice.functions.columns import LABEL_COLUMNS
+
 _texts = T.ArrayType(T.StringType())
 EVIDENCE = T.StructType([
     T.StructField("detector_name", T.StringType()), T.StructField("typology", T.StringType()), T.StructField("primary_account_id", T.StringType()),
@@ -67,3 +72,30 @@ def union(*parts: DataFrame) -> DataFrame:
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], EVIDENCE)
+
+
+def without_label_keys(value: Any) -> Any:
+    """Nested dicts and lists without the keys that carry labels."""
+    if isinstance(value, dict):
+        return {k: without_label_keys(v) for k, v in sorted(value.items()) if k not in LABEL_COLUMNS}
+    return [without_label_keys(v) for v in value] if isinstance(value, list) else value
+
+
+def from_dicts(spark: SparkSession, items: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Evidence given as dicts, checked by the schema's rules; a broken one is a ValueError."""
+    rows = []
+    for item in items:
+        if unknown := set(item) - {f.name for f in EVIDENCE}:
+            raise ValueError(f"evidence has no {sorted(unknown)}")
+        e = {"severity": "low", "evidence_strength": 0.0, "transaction_count": 0, "total_amount": 0.0} | dict(item)
+        if not all(str(e.get(k) or "").strip() for k in ("detector_name", "typology", "primary_account_id")):
+            raise ValueError("evidence names its detector, typology and account")
+        if e["transaction_count"] < 0 or e["total_amount"] < 0 or not 0 <= e["evidence_strength"] <= 1 or e["severity"] not in SEVERITIES:
+            raise ValueError(f"evidence of {e['detector_name']} breaks a rule")
+        e["typology"] = e["typology"].strip().upper().replace(" ", "-")
+        for k in ("involved_account_ids", "entity_ids", "reasons", "transaction_references"):
+            e[k] = [str(x) for x in e.get(k) or [] if k == "reasons" or str(x)]
+        e["detector_parameters"] = {k: float(v) for k, v in without_label_keys(e.get("detector_parameters") or {}).items()}
+        e["metadata"] = json.dumps(without_label_keys(e.get("metadata") or {}), default=str)
+        rows.append(tuple(ASSESSMENT_TYPE if f.name == "assessment_type" else float(e[f.name]) if f.name in ("total_amount", "evidence_strength") else e.get(f.name) for f in EVIDENCE))
+    return spark.createDataFrame(rows, EVIDENCE)

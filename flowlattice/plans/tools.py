@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlattice.operators.cycle import cycles
@@ -20,7 +20,7 @@ from flowlattice.operators.gather_scatter import gather_scatter
 from flowlattice.operators.scatter_gather import scatter_gather
 from flowlattice.operators.velocity import velocity
 from flowlattice.plans.assessment import aggregate, scored
-from flowlattice.plans.evidence import union
+from flowlattice.plans.evidence import from_dicts, union
 from flowlattice.plans.planner import PURPOSES
 from flowlattice.plans.query_model import Context, Status, ToolResult
 from flowlattice.plans.report import reports
@@ -107,6 +107,8 @@ def _velocity(context: Context, p: dict[str, Any]) -> dict[str, Any]:
 
 
 def _all_evidence(context: Context, p: dict[str, Any]) -> DataFrame:
+    if isinstance(p.get("evidence"), list):  # dicts
+        return from_dicts(context.transactions.sparkSession if context.transactions is not None else SparkSession.active(), p["evidence"])
     parts = [p["evidence"]] if "evidence" in p else [r["evidence"] for r in context.results.values() if "evidence" in r]
     if not parts:
         raise ValueError("there is no evidence")
