@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 BLOCK = 128
 #: Rows of a source's bucket, about, and slots of a chunk.
-BUCKET_ROWS, CHUNK = 4096, 4096
+BUCKET_ROWS, CHUNK = 512, 4096
 #: Bins of the unit interval by which points find their source.
 BINS = 4096
 #: Slots that a source's interval holds beyond its need, as points fall unevenly by about so many.
