@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 FOLDS = 5
 #: A side of at most this many rows may be broadcast, if its rows have a fixed small width.
 BROADCAST_ROWS = 50_000
+BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
@@ -31,6 +32,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python gets BATCH_ROWS rows at once at most: texts are held several times over while they are worked on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; a null id counts as the empty text (0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS

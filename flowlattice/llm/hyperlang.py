@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.llm.common import hash_share, held_out
+from flowlattice.llm.common import hash_share, held_out, small_batches
 
 DIM = 1024
 #: Documents to fit the prototypes on, about; chosen by a hash of doc_id.
@@ -119,6 +119,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their unit prototypes; learns from rows that are not held out."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     total = rows.select("doc_id").count()
     if total > sample:
@@ -147,6 +148,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, names: tu
     kept = [c for c in docs.columns if c not in names]
     schema = docs.select(kept).schema
     model = np.asarray(prototypes, np.float32)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder()

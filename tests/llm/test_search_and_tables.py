@@ -196,8 +196,8 @@ def test_classes_agree_with_all_pairs(docs, monkeypatch, paired):
 
 def test_no_documents_and_no_ids(docs):
     assert order_minhash.classes(docs((1, "x")).where("false")).count() == 0
-    got = order_minhash.classes(docs((None, "a b c"), (None, "a b c"), (3, "a b c"), (None, "z"))).collect()
-    assert Counter((r.doc_id, r.class_id) for r in got) == {(None, 3): 2, (3, 3): 1, (None, None): 1}
+    got = order_minhash.classes(docs((None, "a b c"), (None, "a b c"), (3, "a b c"), (None, "z"), (4, ""), (5, ""), (6, " "), (7, None), (8, None))).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == {(None, 3): 2, (3, 3): 1, (None, None): 1, (4, 4): 1, (5, 4): 1, (6, 6): 1, (7, 7): 1, (8, 8): 1}
 
 
 # ---- the pipeline
