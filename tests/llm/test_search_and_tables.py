@@ -194,6 +194,20 @@ def test_classes_agree_with_all_pairs(docs, monkeypatch, paired):
     assert left == {i for i, _ in rows if find(i) == i}
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_a_large_bucket_loses_no_link(docs, monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "PAIRED", 6)
+    monkeypatch.setattr(order_minhash, "BLOCK", block, raising=False)
+    drift = [" ".join(f"w{i}" for i in range(9 * k, 9 * k + 100)) for k in range(30)]  # each is like the next one only
+    other = [" ".join([f"p{i}" for i in range(15)] + [f"x{k // 2}-{i}" for i in range(80 + k % 2)]) for k in range(30)]  # pairs behind a passage of all
+    df = docs(*enumerate(drift + other))
+    nodes = order_minhash.nodes_of(df).withColumn("sk", F.array(F.lit(1).cast("long")))  # one bucket
+    root = {r.node: r.root for r in order_minhash.components(order_minhash.links(df, nodes)).collect()}
+    name = [hashlib.md5(t.encode()).hexdigest() for t in drift + other]
+    assert len({root.get(x, x) for x in name[:30]}) == 1
+    assert [root.get(x, x) for x in name[30::2]] == [root.get(x, x) for x in name[31::2]] and len({root.get(x, x) for x in name}) == 16
+
+
 def test_no_documents_and_no_ids(docs):
     assert order_minhash.classes(docs((1, "x")).where("false")).count() == 0
     got = order_minhash.classes(docs((None, "a b c"), (None, "a b c"), (3, "a b c"), (None, "z"), (4, ""), (5, ""), (6, " "), (7, None), (8, None))).collect()
