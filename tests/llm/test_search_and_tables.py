@@ -194,6 +194,20 @@ def test_classes_agree_with_all_pairs(docs, monkeypatch, paired):
     assert left == {i for i, _ in rows if find(i) == i}
 
 
+@pytest.mark.parametrize("n", [20, 100, 300])
+@pytest.mark.parametrize("alike", [0.8, 0.85, 0.9])
+def test_similar_texts_share_a_sketch(n, alike):
+    r = np.random.default_rng(n)
+    met = 0
+    for _ in range(200):
+        x = r.integers(0, 1 << 32, n, dtype=np.uint32)
+        y, k = x.copy(), int((1 - alike) * n + 1e-9)
+        y[r.choice(n, k, replace=False)] = r.integers(0, 1 << 32, k, dtype=np.uint32)
+        met += bool((order_minhash.sketches(x) == order_minhash.sketches(y)).any())
+    print(n, alike, met / 200)
+    assert met >= 190 if n > 20 else met >= 180
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_a_large_bucket_loses_no_link(docs, monkeypatch, block):
     monkeypatch.setattr(order_minhash, "PAIRED", 6)
