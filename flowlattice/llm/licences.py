@@ -28,7 +28,22 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: A replaceable region takes at most so many words, whatever its match says.
 MOST_WORDS = 40
 
-#: Licence notices in template markup, by label.
+#: What the BSD licences share; the third clause stands in between.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are
+        permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the
+        <<beginOptional>>above<<endOptional>> copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+        and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        {third}
+        THIS SOFTWARE IS PROVIDED BY <<var;name="holder";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".{{1,200}}">> "AS IS" AND ANY
+        EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="liable";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".{{1,200}}">> BE
+        LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+        OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+        THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+
+#: Licences in full (MIT-grant, BSD) and notices that name one, in template markup, by label.
 TEMPLATES = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License");
         you may not use this file except in compliance with the License<<endOptional>>""",
@@ -44,9 +59,23 @@ TEMPLATES = {
     "MIT-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of
         <<var;name="software";original="this software and associated documentation files";match=".{1,200}">>
         (the <<var;name="short";original="Software";match=".{1,30}">>), to deal in
-        <<var;name="short";original="the Software";match=".{1,30}">> without restriction""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are
-        permitted provided that the following conditions are met""",
+        <<var;name="short";original="the Software";match=".{1,30}">> without restriction, including without limitation the rights to use,
+        copy, modify, merge, publish, distribute, sublicense, and/or sell copies of <<var;name="short";original="the Software";match=".{1,30}">>,
+        and to permit persons to whom <<var;name="short";original="the Software";match=".{1,30}">> is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice
+        <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of
+        <<var;name="short";original="the Software";match=".{1,30}">>.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        <<var;name="holder";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".{1,200}">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE""",
+    "BSD-2-Clause": _BSD.format(third=""),
+    "BSD-3-Clause": _BSD.format(
+        third="""<<beginOptional>>3.<<endOptional>> Neither the name of
+        <<var;name="owner";original="the copyright holder";match=".{1,200}">> nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission."""
+    ),
 }
 
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))

@@ -60,6 +60,14 @@ def test_licence_scan(docs):
     assert licences.scan(docs((1, "x")).where("false")).count() == 0
 
 
+def test_licences_in_full_are_told_apart(docs):
+    drop = lambda t: re.sub(r"<<[^>]*>>", lambda m: (re.findall('original="([^"]*)"', m[0]) or [""])[0], t)
+    bsd2, bsd3, mit = (drop(licences.TEMPLATES.get(k, "")) for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT-grant"))
+    got = scan(docs, bsd2, bsd3, mit, mit.replace("subject to", "not subject to"), bsd2.split(":")[0], bsd3.replace("Neither", "Either"))
+    assert [got[i].labels for i in range(6)] == ["BSD-2-Clause", "BSD-3-Clause", "MIT-grant", "", "", ""]
+    assert [got[i].score for i in range(6)] == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0]
+
+
 # ---- line dedup
 
 
