@@ -50,6 +50,16 @@ def number(df: DataFrame, name: str) -> Column:
     return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles, the same in whatever order rows come.
+
+    Values are added as decimals of six places; those that don't fit (beyond 10^22, or not finite) as doubles.
+    """
+    whole = x.try_cast("decimal(28,6)")
+    rest = F.sum(F.when(whole.isNull(), x))
+    return F.coalesce(F.sum(whole).cast("double") + rest, F.sum(whole).cast("double"), rest)
+
+
 def iso(ts: Column) -> Column:
     """ISO 8601, with a fraction only where there is one."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

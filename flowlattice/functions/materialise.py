@@ -5,18 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts a plan that has grown long; what is written outlives executors.
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh path in this application's part of spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir; where that is unset (tests), a temporary one.
+    Where that is unset, a session on one machine (tests) takes a temporary folder; on a cluster, executors
+    would each write to a disk of their own, so it is an error.
     """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_flowlattice_tables", None)
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = spark._flowlattice_tables = tempfile.mkdtemp(prefix="flowlattice-")
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = getattr(spark, "_flowlattice_tables", None)
+        if base is None:
+            base = spark._flowlattice_tables = tempfile.mkdtemp(prefix="flowlattice-")
+    return f"{base.rstrip('/')}/flowlattice-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts a plan that has grown long; what is written outlives executors."""
+    path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's written tables; results that still read them can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "x")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlattice.functions.columns import MICROS_PER_HOUR, micros, number, require
+from flowlattice.functions.columns import MICROS_PER_HOUR, exact_sum, micros, number, require
 from flowlattice.operators.streaming_median import streaming_medians
 from flowlattice.sources.feature_store import FeatureSet
 
@@ -76,12 +76,12 @@ def counts_and_amounts(e: DataFrame, median: str = "exact") -> DataFrame:
     middle = {"exact": F.median, "approximate": lambda c: F.percentile_approx(c, 0.5, 10_000), "none": lambda c: F.max(F.lit(None).cast("double"))}[median]
     return e.groupBy("account_id").agg(
         F.count("*").alias("transaction_count"), total("out").alias("outgoing_count"), total("inc").alias("incoming_count"),
-        F.sum("out_amount").alias("total_outgoing_amount"), F.sum("in_amount").alias("total_incoming_amount"),
+        exact_sum(F.col("out_amount")).alias("total_outgoing_amount"), exact_sum(F.col("in_amount")).alias("total_incoming_amount"),
         F.coalesce(middle(F.when(F.col("out") == 1, F.col("out_amount"))), F.lit(0.0) if median != "none" else F.lit(None)).cast("double").alias("median_outgoing_amount"),
         F.coalesce(middle(F.when(F.col("inc") == 1, F.col("in_amount"))), F.lit(0.0) if median != "none" else F.lit(None)).cast("double").alias("median_incoming_amount"),
         F.greatest(F.max("out_amount"), F.lit(0.0)).alias("max_outgoing_amount"), F.greatest(F.max("in_amount"), F.lit(0.0)).alias("max_incoming_amount"),
-        total("low").alias("low_value_outgoing_count"), F.sum(F.when(F.col("low") == 1, F.col("out_amount")).otherwise(0.0)).alias("low_value_outgoing_amount"),
-        total("near").alias("near_threshold_outgoing_count"), F.sum(F.when(F.col("near") == 1, F.col("out_amount")).otherwise(0.0)).alias("near_threshold_outgoing_value"),
+        total("low").alias("low_value_outgoing_count"), exact_sum(F.when(F.col("low") == 1, F.col("out_amount")).otherwise(0.0)).alias("low_value_outgoing_amount"),
+        total("near").alias("near_threshold_outgoing_count"), exact_sum(F.when(F.col("near") == 1, F.col("out_amount")).otherwise(0.0)).alias("near_threshold_outgoing_value"),
         total("round").alias("round_amount_count"), total("cross").alias("cross_bank_transaction_count"), total("self").alias("self_transfer_count"),
     )
 

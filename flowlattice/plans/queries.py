@@ -92,15 +92,15 @@ def events_union(spark: SparkSession, d: str) -> DataFrame:
     return fe.account_events(_tx(spark, d)).select("account_id", "party", "bank", "ord", "out", "inc", "out_amount", "in_amount")
 
 
-@_query(f"""WITH {EV} SELECT account_id, count(*) AS transaction_count, sum(o)::BIGINT AS outgoing_count, sum(i)::BIGINT AS incoming_count, round(sum(oa), 4) AS total_outgoing_amount, round(sum(ia), 4) AS total_incoming_amount,
+@_query(f"""WITH {EV} SELECT account_id, count(*) AS transaction_count, sum(o)::BIGINT AS outgoing_count, sum(i)::BIGINT AS incoming_count, round(sum(oa::DECIMAL(28,6))::DOUBLE, 4) AS total_outgoing_amount, round(sum(ia::DECIMAL(28,6))::DOUBLE, 4) AS total_incoming_amount,
   greatest(max(oa), 0)::DOUBLE AS max_outgoing_amount, greatest(max(ia), 0)::DOUBLE AS max_incoming_amount FROM ev GROUP BY account_id""")
 def agg_counts_amounts(spark: SparkSession, d: str) -> DataFrame:
     f = fe.counts_and_amounts(fe.account_events(_tx(spark, d)), "none")
     return f.select("account_id", "transaction_count", "outgoing_count", "incoming_count", _r("total_outgoing_amount"), _r("total_incoming_amount"), "max_outgoing_amount", "max_incoming_amount")
 
 
-@_query(f"""WITH {EV} SELECT account_id, sum(low)::BIGINT AS low_value_outgoing_count, round(sum(CASE WHEN low = 1 THEN oa ELSE 0 END), 4) AS low_value_outgoing_amount, sum(near)::BIGINT AS near_threshold_outgoing_count,
-  round(sum(CASE WHEN near = 1 THEN oa ELSE 0 END), 4)::DOUBLE AS near_threshold_outgoing_value, sum(round_)::BIGINT AS round_amount_count, sum(cross_bank::INT)::BIGINT AS cross_bank_transaction_count, sum(self)::BIGINT AS self_transfer_count FROM ev GROUP BY account_id""")
+@_query(f"""WITH {EV} SELECT account_id, sum(low)::BIGINT AS low_value_outgoing_count, round(sum(CASE WHEN low = 1 THEN oa ELSE 0 END::DECIMAL(28,6))::DOUBLE, 4) AS low_value_outgoing_amount, sum(near)::BIGINT AS near_threshold_outgoing_count,
+  round(sum(CASE WHEN near = 1 THEN oa ELSE 0 END::DECIMAL(28,6))::DOUBLE, 4)::DOUBLE AS near_threshold_outgoing_value, sum(round_)::BIGINT AS round_amount_count, sum(cross_bank::INT)::BIGINT AS cross_bank_transaction_count, sum(self)::BIGINT AS self_transfer_count FROM ev GROUP BY account_id""")
 def agg_flags(spark: SparkSession, d: str) -> DataFrame:
     f = fe.counts_and_amounts(fe.account_events(_tx(spark, d)), "none")
     return f.select("account_id", "low_value_outgoing_count", _r("low_value_outgoing_amount"), "near_threshold_outgoing_count", _r("near_threshold_outgoing_value"), "round_amount_count", "cross_bank_transaction_count", "self_transfer_count")
@@ -146,11 +146,11 @@ def agg_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 ACCOUNTS = "ac AS (SELECT CAST(c_custkey AS VARCHAR) AS account_id, 'Bank ' || c_nationkey AS bank_name, CAST(c_custkey % 10 AS VARCHAR) AS bank_id, 'E' || c_nationkey AS entity_id, c_name AS entity_name FROM customer)"
 FEATURES = f"""WITH {EV}, {BUCKETS}, {GAPS}, {ACCOUNTS},
-base AS (SELECT account_id, count(*) AS transaction_count, sum(o)::BIGINT AS outgoing_count, sum(i)::BIGINT AS incoming_count, sum(oa) AS oa, sum(ia) AS ia, coalesce(median(oa) FILTER (o = 1), 0)::DOUBLE AS mo, coalesce(median(ia) FILTER (i = 1), 0)::DOUBLE AS mi,
+base AS (SELECT account_id, count(*) AS transaction_count, sum(o)::BIGINT AS outgoing_count, sum(i)::BIGINT AS incoming_count, sum(oa::DECIMAL(28,6))::DOUBLE AS oa, sum(ia::DECIMAL(28,6))::DOUBLE AS ia, coalesce(median(oa) FILTER (o = 1), 0)::DOUBLE AS mo, coalesce(median(ia) FILTER (i = 1), 0)::DOUBLE AS mi,
   greatest(max(oa), 0)::DOUBLE AS max_outgoing_amount, greatest(max(ia), 0)::DOUBLE AS max_incoming_amount, count(DISTINCT party) FILTER (o = 1 AND party <> account_id) AS uo, count(DISTINCT party) FILTER (i = 1 AND party <> account_id) AS ui,
   count(DISTINCT party) FILTER (party <> account_id) AS unique_counterparties, count(DISTINCT bank) FILTER (o = 1) AS unique_outgoing_banks, count(DISTINCT bank) FILTER (i = 1) AS unique_incoming_banks,
-  count(DISTINCT format) AS payment_format_count, count(DISTINCT paid_in) AS payment_currency_count, count(DISTINCT got_in) AS receiving_currency_count, sum(low)::BIGINT AS low_value_outgoing_count, sum(CASE WHEN low = 1 THEN oa ELSE 0 END) AS lv,
-  sum(near)::BIGINT AS near_threshold_outgoing_count, sum(CASE WHEN near = 1 THEN oa ELSE 0 END) AS nv, sum(round_)::BIGINT AS round_amount_count, sum(cross_bank::INT)::BIGINT AS cross_bank_transaction_count, sum(self)::BIGINT AS self_transfer_count FROM ev GROUP BY account_id),
+  count(DISTINCT format) AS payment_format_count, count(DISTINCT paid_in) AS payment_currency_count, count(DISTINCT got_in) AS receiving_currency_count, sum(low)::BIGINT AS low_value_outgoing_count, sum(CASE WHEN low = 1 THEN oa ELSE 0 END::DECIMAL(28,6))::DOUBLE AS lv,
+  sum(near)::BIGINT AS near_threshold_outgoing_count, sum(CASE WHEN near = 1 THEN oa ELSE 0 END::DECIMAL(28,6))::DOUBLE AS nv, sum(round_)::BIGINT AS round_amount_count, sum(cross_bank::INT)::BIGINT AS cross_bank_transaction_count, sum(self)::BIGINT AS self_transfer_count FROM ev GROUP BY account_id),
 f AS (SELECT b.account_id, transaction_count, outgoing_count, incoming_count, round(oa, 4)::DOUBLE AS total_outgoing_amount, round(ia, 4)::DOUBLE AS total_incoming_amount, round(CASE WHEN outgoing_count > 0 THEN oa / outgoing_count ELSE 0 END, 4)::DOUBLE AS mean_outgoing_amount,
   round(CASE WHEN incoming_count > 0 THEN ia / incoming_count ELSE 0 END, 4)::DOUBLE AS mean_incoming_amount, round(mo, 4) AS median_outgoing_amount, round(mi, 4) AS median_incoming_amount, max_outgoing_amount, max_incoming_amount, uo AS unique_outgoing_counterparties, ui AS unique_incoming_counterparties,
   unique_counterparties, unique_outgoing_banks, unique_incoming_banks, round(CASE WHEN outgoing_count > 0 THEN uo / outgoing_count ELSE 0 END, 4) AS fan_out_ratio, round(CASE WHEN incoming_count > 0 THEN ui / incoming_count ELSE 0 END, 4) AS fan_in_ratio, active_hours, active_days, max_transactions_in_hour, max_transactions_in_day,

@@ -1,11 +1,13 @@
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+from moments import START  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,7 +22,6 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-START = datetime(2024, 1, 1)
 TX = "ord long, timestamp timestamp_ntz, sender_account string, receiver_account string, amount_paid double, amount_received double, from_bank string, to_bank string, payment_format string, payment_currency string, receiving_currency string, is_laundering long"
 
 

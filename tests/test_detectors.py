@@ -10,7 +10,7 @@ from flowlattice.operators.gather_scatter import gather_scatter
 from flowlattice.operators.scatter_gather import scatter_gather
 from flowlattice.plans.evidence import EVIDENCE, violations
 
-from conftest import START
+from moments import START
 
 DAY = 24 * 60
 
