@@ -5,13 +5,15 @@ DuckDB: a row holds a word's tokens; the recursive step lays out token positions
 neighbouring tokens with the merge table, and contracts each word's leftmost pair of least
 rank, until no pair of any word is in the table.  A text's ids are its words' ids in order.
 
-Decoding uses ids alone.  A text's ids are cut before every token that starts with a blank;
-of the distinct runs, token positions are joined with the vocabulary and put together by an
-ordered aggregation.
+A word of over ``LONG`` bytes is contracted in pieces of ``PIECE`` bytes by the same query.  A
+row of tokens is the whole word's encoding exactly if each two neighbours, put together, encode
+to themselves: the first merge across a place where two tokens meet would also be the first in
+those two alone.  So the seams between pieces are checked, and around one that fails the tokens
+on both sides are contracted anew, until no seam fails.
 
-Words of over ``LONG`` bytes would take as many steps as bytes.  They are first cut where no
-token of the vocabulary holds the two bytes on either side (no merge can cross), and what is
-still longer is merged with a heap, by the same rule.
+Decoding uses ids alone.  A text's ids are cut before every token that starts with a blank (and
+after ``RUN`` tokens); of the distinct runs, token positions are joined with the vocabulary and
+put together by an ordered aggregation.
 
 Edge cases: a null text encodes as the empty text, to no ids.  Special tokens' strings are
 ordinary text.  Repeated rows give repeated results; extra columns are not read.  Very long
@@ -22,8 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import sys
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -34,25 +34,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a word that DuckDB contracts.
-LONG = 256
-#: Words, or runs of ids, for one DuckDB query.
-BATCH = 40_000
-#: Words and runs that a Python worker remembers; later ones are worked out each time.
-REMEMBER = 500_000
+#: Bytes of a word beyond which it is contracted in pieces, bytes of a piece, and tokens contracted anew on either side of a seam.
+LONG, PIECE, NEAR = 128, 64, 8
+#: Words (or pieces), and tokens of runs of ids, for one DuckDB query; tokens of a run at most.
+BATCH, TOKENS, RUN = 40_000, 1_000_000, 64
+#: Bytes of words and runs that a Python worker remembers; later ones are worked out each time.
+REMEMBER = 60_000_000
+#: What an entry takes besides its bytes, about.
+ENTRY = 160
 #: Characters whose words are held at once.
-CHARS = 4_000_000
+CHARS = 1_000_000
 
+# USING KEY keeps a word's last state alone, so memory doesn't grow with the steps
 _CONTRACT = """
-WITH RECURSIVE s(step, w, ts) AS (
-  SELECT 0::INT, w, ts FROM seed
+WITH RECURSIVE s(w, ts) USING KEY (w) AS (
+  SELECT w, ts FROM seed
   UNION ALL
-  SELECT step + 1, w, list_concat(ts[:p - 1], [(best >> 24)::INT], ts[p + 2:])
+  SELECT w, list_concat(ts[:p - 1], [(best >> 24)::INT], ts[p + 2:])
   FROM (SELECT s.*, best, (best & 16777215)::INT AS p
         FROM (SELECT n.w, min(m.t::BIGINT << 24 | n.p) AS best
               FROM (SELECT w, unnest(ts[:-2]) AS a, unnest(ts[2:]) AS b, generate_subscripts(ts[2:], 1) AS p FROM s WHERE len(ts) > 1) n
               JOIN merges m ON (n.a::BIGINT << 32 | n.b) = m.pair GROUP BY n.w) JOIN s USING (w)))
-SELECT arg_max(ts, step) AS ids FROM s GROUP BY w ORDER BY w"""
+SELECT ts AS ids FROM s ORDER BY w"""
 
 _JOIN = """
 SELECT string_agg(v.bytes, '' ORDER BY r.p) AS t
@@ -76,14 +79,15 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], merges: np.ndarray, pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.tokens = {r: t for t, r in ranks.items()}
         self.words: dict[str, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
+        self.seams: dict[bytes, bytes] = {}
+        self.room = {"words": REMEMBER, "runs": REMEMBER}
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        blank = np.zeros(max(ranks.values()) + 1, bool)
-        blank[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.blank = blank
-        self.glued: set[bytes] | None = None
+        blank, size = np.zeros(max(ranks.values()) + 1, bool), np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            blank[rank], size[rank] = token[:1] == b" ", len(token)
+        self.blank, self.size = blank, size
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
         self.db.execute("SET temp_directory = ''")
         table = pa.table({"pair": merges[:, 0].astype(np.int64) << 32 | merges[:, 1], "t": merges[:, 2]})
@@ -115,53 +119,77 @@ class Coder:
     def join(self, runs: list[bytes]) -> list[bytes]:
         """The bytes that runs of ids stand for."""
         out: list[bytes] = []
-        for lo in range(0, len(runs), BATCH):
-            part = runs[lo : lo + BATCH]
+        for part in by_size(runs, [len(r) // 4 for r in runs], TOKENS):
             ends = np.cumsum([len(r) // 4 for r in part])
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(part), "<i4")))
             got = self._ask(_JOIN, "runs", pa.table({"w": pa.array(np.arange(len(part)), pa.int32()), "ids": ids}))
             out += [t.encode("latin-1") for t in got.to_pylist()]
         return out
 
-    def _cut(self, word: bytes) -> list[bytes]:
-        """A long word cut where no merge can cross."""
-        if self.glued is None:
-            self.glued = {t[i : i + 2] for t in self.ranks for i in range(len(t) - 1)}
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.glued), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _heaped(self, word: bytes) -> bytes:
-        """Least rank first, leftmost of equals, by a heap over a linked list."""
-        part: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = [*range(1, len(part)), -1], list(range(-1, len(part) - 1))
-        heap = [(r, i, 2) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, n = heapq.heappop(heap)
-            j = after[i] if part[i] is not None else -1
-            if j < 0 or len(part[i]) + len(part[j]) != n:
-                continue  # one of the two has changed since
-            part[i], part[j] = part[i] + part[j], None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] >= 0 and (r := self.ranks.get(both := part[a] + part[after[a]])) is not None:
-                    heapq.heappush(heap, (r, a, len(both)))
-        return np.array([self.ranks[p] for p in part if p is not None], "<u4").tobytes()
+    def _near(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of what stands around seams; such words often repeat."""
+        if len(self.seams) > BATCH:
+            self.seams.clear()
+        new = list(set(words).difference(self.seams))
+        self.seams |= zip(new, self.contract(new), strict=True)
+        return [np.frombuffer(self.seams[w], "<u4") for w in words]
+
+    def pieced(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of any length, from those of their pieces; all words together, end to end."""
+        if not words:
+            return []
+        text, stops = b"".join(words), np.cumsum([0, *map(len, words)])
+        cuts = [a for lo, hi in zip(stops.tolist(), stops[1:].tolist(), strict=False) for a in range(lo, hi, PIECE)]
+        parts = self.contract([text[a:z] for a, z in zip(cuts, [*cuts[1:], len(text)], strict=True)])
+        ends = np.cumsum(self.size[np.frombuffer(b"".join(parts), "<u4")])  # where each token ends
+        seams, furthest, turns = np.setdiff1d(cuts, stops), -1, 0
+        while len(seams):
+            at = np.searchsorted(ends, seams)
+            left, right = np.where(at > 0, ends[at - 1], 0), ends[at + 1]
+            found = self._near([text[a:z] for a, z in zip(left.tolist(), right.tolist(), strict=True)])
+            wrong = [i for i, (x, s, a) in enumerate(zip(found, seams.tolist(), left.tolist(), strict=True)) if len(x) != 2 or self.size[x[0]] != s - a]
+            if not wrong:
+                break
+            # all before the first wrong seam is sound; if that doesn't move on, more tokens around it are contracted
+            turns = 0 if seams[wrong[0]] > furthest else turns + 1
+            furthest = max(furthest, int(seams[wrong[0]]))
+            own = np.searchsorted(stops, seams[wrong], "right")
+            first, final = np.searchsorted(ends, stops[own - 1], "right"), np.searchsorted(ends, stops[own])
+            spans, later, last = [], [], -1
+            for k, i in enumerate(wrong):
+                width = NEAR << turns if k == 0 else NEAR
+                lo, hi = max(int(at[i]) - width + 1, int(first[k])), min(int(at[i]) + width, int(final[k]))
+                if lo > last:
+                    spans.append((lo, hi))
+                    last = hi
+                else:
+                    later.append(int(seams[i]))
+            edges = [(int(ends[lo - 1]) if lo else 0, int(ends[hi])) for lo, hi in spans]
+            kept, done = [], 0
+            for (lo, hi), (a, _), ids in zip(spans, edges, self._near([text[a:z] for a, z in edges]), strict=True):
+                kept += [ends[done:lo], a + np.cumsum(self.size[ids])]
+                done = hi + 1
+            ends = np.concatenate([*kept, ends[done:]])
+            again = np.setdiff1d([*later, *chain.from_iterable(edges)], stops).astype(np.int64)
+            seams = again[ends[np.searchsorted(ends, again)] == again]
+        at = [0, *ends.tolist()]
+        ids = np.array([self.ranks[text[a:z]] for a, z in zip(at, at[1:], strict=False)], "<u4").tobytes()
+        own = np.append(0, np.searchsorted(ends, stops[1:]) + 1) * 4
+        return [ids[a:z] for a, z in zip(own.tolist(), own[1:].tolist(), strict=False)]
 
     def learn(self, new: Iterable[str]) -> dict[str, bytes]:
         """Ids of words; remembers as many as there is room for."""
-        pieces: dict[str, list[bytes]] = {}
-        for w in new:
-            b = w.encode("utf-8", "surrogatepass")
-            pieces[w] = [b] if len(b) <= LONG else self._cut(b)
-        short = list(dict.fromkeys(p for ps in pieces.values() for p in ps if len(p) <= LONG))
-        known = dict(zip(short, self.contract(short), strict=True))
-        got = {w: b"".join(known[p] if len(p) <= LONG else self._heaped(p) for p in ps) for w, ps in pieces.items()}
-        if room := max(0, REMEMBER - len(self.words)):
-            self.words |= dict(islice(got.items(), room))
-        return got
+        plain = {w: w.encode("utf-8", "surrogatepass") for w in new}
+        short = [w for w, b in plain.items() if len(b) <= LONG]
+        got = dict(zip(short, self.contract([plain[w] for w in short]), strict=True))
+        self._remember("words", got)
+        long = [w for w in plain if len(plain[w]) > LONG]
+        return got | dict(zip(long, self.pieced([plain[w] for w in long]), strict=True))
+
+    def _remember(self, what: str, new: dict) -> None:
+        if self.room[what] > 0:
+            self.room[what] -= sum(len(k) + len(v) + ENTRY for k, v in new.items())
+            getattr(self, what).update(new)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers; texts of one call are held at once."""
@@ -183,58 +211,65 @@ class Coder:
 
     def _resolved(self, words: set[str]):
         """A lookup that knows these words."""
-        fresh = self.learn(words.difference(self.words))
-        if len(self.words) < REMEMBER:
-            return self.words.__getitem__
-        return lambda w: self.words.get(w) or fresh[w]
+        fresh = {w: ids for w, ids in self.learn(words.difference(self.words)).items() if w not in self.words}
+        return (lambda w: self.words.get(w) or fresh[w]) if fresh else self.words.__getitem__
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes of texts from their ids."""
         cut = []
         for ids in coded:
-            at = np.flatnonzero(self.blank[np.frombuffer(ids, "<u4")]) * 4
-            at = np.unique(np.concatenate(([0], at, [len(ids)]))).tolist()
+            n = len(ids) // 4
+            at = np.union1d(np.flatnonzero(self.blank[np.frombuffer(ids, "<u4")]), [0, n])
+            wide = np.flatnonzero(np.diff(at) > RUN)
+            if len(wide):
+                at = np.union1d(at, np.concatenate([np.arange(at[i], at[i + 1], RUN) for i in wide]))
+            at = (at * 4).astype(np.int64).tolist()
             cut.append([ids[a:b] for a, b in zip(at, at[1:], strict=False)])
         new = list(set(chain.from_iterable(cut)).difference(self.runs))
         fresh = dict(zip(new, self.join(new), strict=True))
-        if room := max(0, REMEMBER - len(self.runs)):
-            self.runs |= dict(islice(fresh.items(), room))
-        own = self.runs.__getitem__ if len(self.runs) < REMEMBER else lambda r: self.runs.get(r) or fresh[r]
-        return [b"".join(map(own, runs)) for runs in cut]
+        self._remember("runs", fresh)
+        return [b"".join([self.runs.get(r) or fresh[r] for r in runs]) for runs in cut]
+
+
+def by_size(rows: list, sizes: list[int], most: int) -> Iterator[list]:
+    """Consecutive rows of about ``most`` in all."""
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield rows[lo : i + 1]
+            lo, held = i + 1, 0
+    if lo < len(rows):
+        yield rows[lo:]
 
 
 def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of about CHARS characters."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHARS:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    lo = 0
+    for part in by_size(texts, [len(t or "") for t in texts], CHARS):
+        yield lo, lo + len(part)
+        lo += len(part)
 
 
-def _coder(key: str, given) -> Coder:
-    """This Python worker's coder of a vocabulary; it is kept from task to task."""
-    held = sys.modules.setdefault("_flowlattice_coders", type(sys)("_flowlattice_coders")).__dict__
-    if key not in held:
-        held[key] = Coder(*given.value)
-    return held[key]
+def _coder(given) -> Coder:
+    """The coder of a broadcast vocabulary; it lives in the broadcast value, so a Python worker keeps it from task to task."""
+    held = given.value
+    if "coder" not in held:
+        held["coder"] = Coder(held["ranks"], held["merges"], held["pattern"])
+    return held["coder"]
 
 
 def _given(docs: DataFrame, path: str, pattern: str):
     ranks = load_ranks(path)
-    key = hashlib.sha256(repr((sorted(ranks.items()), pattern, REMEMBER)).encode()).hexdigest()
-    return key, docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks), pattern))
+    return docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "merges": merge_table(ranks), "pattern": pattern})
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every text and decodes the ids again."""
-    key, given = _given(docs, path, pattern)
+    given = _given(docs, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(key, given)
+        coder = _coder(given)
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in batches_of(texts):
@@ -250,11 +285,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of ``docs`` but text, then n_tokens and ids."""
-    key, given = _given(docs, path, pattern)
+    given = _given(docs, path, pattern)
     kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(key, given)
+        coder = _coder(given)
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in batches_of(texts):
@@ -269,11 +304,11 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decoded(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``coded`` with its ids (null: none) replaced by text; bytes that are not UTF-8 become U+FFFD."""
-    key, given = _given(coded, path, pattern)
+    given = _given(coded, path, pattern)
     kept = [c for c in coded.columns if c not in ("text", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(key, given)
+        coder = _coder(given)
         for b in batches:
             ids = [np.asarray(x or [], "<u4").tobytes() for x in b.column("ids").to_pylist()]
             plain = [t.decode("utf-8", "replace") for t in coder.decode(ids)]
