@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlattice.functions.materialise import shared_dir, written  # noqa: F401
+
 #: One row in FOLDS is held out of every fit; the remainder of crc32(doc_id as text) says which.
 FOLDS = 5
 #: A side of at most this many rows may be broadcast, if its rows have a fixed small width.
@@ -15,23 +14,6 @@ BROADCAST_ROWS = 50_000
 BATCH_ROWS = 2_000
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that the cluster shares; a temporary one where none is set (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        base = getattr(spark, "_flowlattice_shared", None)
-        if base is None:
-            base = spark._flowlattice_shared = tempfile.mkdtemp(prefix="flowlattice-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and outlives executors."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """From now on Python gets BATCH_ROWS rows at once at most: texts are held several times over while they are worked on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

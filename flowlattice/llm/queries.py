@@ -48,7 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return order_minhash.classes(_table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
