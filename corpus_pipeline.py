@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines of repeated three-line windows; n_chars follows the text."""
     names = docs.columns
-    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    return line_dedup.dedup(docs, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
