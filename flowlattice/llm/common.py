@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowlattice.functions.materialise import shared_dir, written  # noqa: F401
@@ -14,11 +17,11 @@ BROADCAST_ROWS = 50_000
 BATCH_ROWS = 2_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on Python gets BATCH_ROWS rows at once at most: texts are held several times over while they are worked on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, BATCH_ROWS at once at most: texts are held several times over while they are worked on."""
+    for b in batches:
+        for lo in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(lo, BATCH_ROWS)
 
 
 def fold(doc_id: Column) -> Column:

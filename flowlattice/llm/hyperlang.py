@@ -7,6 +7,9 @@ A text gets the language whose prototype has the largest cosine with its own vec
 
 Text is lower-cased; whatever is no letter parts words and becomes one blank.
 
+The prototypes are fitted on a bounded sample of each language's rows; languages are few, so the
+driver holds a vector each.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.  Nothing to learn
 from: every text is ``und``.  A null doc_id folds as the empty text.  Repeated rows are
 predicted alike.  Ties go to the smaller language value.  Columns beyond doc_id, text and
@@ -22,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.llm.common import hash_share, held_out, small_batches
+from flowlattice.llm.common import BROADCAST_ROWS, held_out, slices, written
 
-DIM = 1024
-#: Documents to fit the prototypes on, about; chosen by a hash of doc_id.
-SAMPLE = 6000
+DIM = 2048
+#: Documents of each language to fit its prototype on, about; chosen by a hash of doc_id and text.
+SAMPLE = 1500
 #: The sample is dealt to so many tasks, each of which returns one vector a language.
 FIT_TASKS = 12
 #: Documents whose counts are multiplied at once, and their characters at most (one document may exceed them).
@@ -119,15 +122,16 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their unit prototypes; learns from rows that are not held out."""
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    total = rows.select("doc_id").count()
-    if total > sample:
-        rows = rows.where(hash_share(F.col("doc_id"), sample / total))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
+    counts = written(rows.groupBy(F.col("lang").alias("c_lang")).agg(F.count("*").alias("c")), "langs")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) * F.col("c")  # a language of few rows keeps them all
+    rows = rows.join(counts, F.col("lang") == F.col("c_lang")).where(spot < F.lit(sample << 30))
+    rows = rows.select("lang", "doc_id", "text").distinct()  # rows that repeat count once
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sums = Encoder(), {}
-        for b in batches:
+        for b in slices(batches):
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
             for lo, hi in chunks(texts):
                 got = unit(enc.vectors(texts[lo:hi])).astype(np.float64)
@@ -148,11 +152,10 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, names: tu
     kept = [c for c in docs.columns if c not in names]
     schema = docs.select(kept).schema
     model = np.asarray(prototypes, np.float32)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             for lo, hi in chunks(texts):
