@@ -1,9 +1,10 @@
 """Licence scans by template markup.
 
 A template's words are mandatory, save inside ``<<beginOptional>> ... <<endOptional>>`` (may
-be absent) and ``<<var;name="...";original="...";match="...">>`` (replaceable: any words, as
-many as its match allows).  Each template is compiled into an automaton over words; it
-accepts a text in which its wording stands as consecutive words, from any place on.
+be absent) and ``<<var;name="...";original="...";match="...">>`` (replaceable: words whose
+text, in lower case and parted by single blanks, is what the regular expression ``match``
+allows).  Each template is compiled into an automaton over words; it accepts a text in which
+its wording stands as consecutive words, from any place on.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, so case,
 punctuation and line breaks don't matter; each mandatory word must match exactly.
@@ -20,14 +21,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: A replaceable region takes at most so many words, whatever its match says.
-MOST_WORDS = 40
-
 #: What the BSD licences share; the third clause stands in between.
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are
         permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the
@@ -43,7 +42,7 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
         LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
         THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
 
-#: Licences in full (MIT-grant, BSD) and notices that name one, in template markup, by label.
+#: Licences in full (MIT-grant, BSD, ISC) and notices that name one, in template markup, by label.
 TEMPLATES = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License");
         you may not use this file except in compliance with the License<<endOptional>>""",
@@ -55,6 +54,13 @@ TEMPLATES = {
         licensed under the GNU General Public License, version 3 <<beginOptional>>or later<<endOptional>>""",
     "GPL-notice": """This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or
         modify it under the terms of the GNU General Public License as published by the Free Software Foundation""",
+    "ISC": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee
+        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";original="THE AUTHOR";match=".{1,100}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO
+        THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+        <<var;name="author";original="THE AUTHOR";match=".{1,100}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+        DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+        ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
     "MIT": """Released under <<beginOptional>>the terms of<<endOptional>> the MIT License""",
     "MIT-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of
         <<var;name="software";original="this software and associated documentation files";match=".{1,200}">>
@@ -86,8 +92,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
+def _rule(fields: str) -> str:
+    found = re.search(r'match="([^"]*)"', fields)
+    return found[1] if found else ".+"
+
+
 def parse(template: str) -> list:
-    """Nested parts: a word (bytes), ``("optional", parts)`` or ``("any", least, most)``."""
+    """Nested parts: a word (bytes), ``("optional", parts)`` or ``("any", rule)``."""
     stack: list[list] = [[]]
     at = 0
     for m in [*_MARK.finditer(template), None]:
@@ -103,30 +114,39 @@ def parse(template: str) -> list:
             part = stack.pop()
             stack[-1].append(("optional", part))
         else:
-            rule = (re.search(r'match="([^"]*)"', m[2]) or [None, ".+"])[1]
-            if rule in (".+", ".*"):
-                least, most = int(rule == ".+"), MOST_WORDS
-            elif found := re.fullmatch(r"\.\{(\d+),(\d+)\}", rule):  # so many characters: at most half as many words
-                least, most = min(int(found[1]), 1), min((int(found[2]) + 1) // 2, MOST_WORDS)
-            else:
-                raise ValueError(f"a match of .+, .* or .{{n,m}} is expected, not {rule}")
-            stack[-1].append(("any", least, most))
+            stack[-1].append(("any", _rule(m[2])))
     if len(stack) > 1:
         raise ValueError("beginOptional without endOptional")
     return stack[0]
 
 
+class Region:
+    """What a replaceable region allows: its text may be ``fits``, or may become so with more words (``grows``)."""
+
+    def __init__(self, rule: str) -> None:
+        found = re.fullmatch(r"\.(\+|\*|\{(\d+),(\d+)\})", rule)
+        self.rule = None if found else regex.compile(rule, regex.IGNORECASE)
+        if found:  # only the number of characters counts
+            self.least = 0 if found[1] == "*" else int(found[2] or 1)
+            self.most = int(found[3]) if found[3] else float("inf")
+
+    def look(self, words: list[bytes], since: int, to: int) -> tuple[bool, bool]:
+        text = b" ".join(words[since:to]).decode("utf-8", "surrogatepass")
+        if self.rule is None:
+            return self.least <= len(text) <= self.most, len(text) < self.most
+        m = self.rule.fullmatch(text, partial=True)
+        return m is not None and not m.partial, m is not None
+
+
 class Automaton:
-    """Nondeterministic over words; sets of states are made deterministic as they come up."""
+    """Nondeterministic over words.  A thread is a state and, within a region, the place of the region's first word."""
 
     def __init__(self, parts: list) -> None:
-        self.steps: list[dict] = []  # of each state: word (None: any word) -> next states
-        self.skips: list[set[int]] = []
+        self.steps: list[dict[bytes, set[int]]] = []  # of each state: word -> next states
+        self.skips: list[set[int]] = []  # states that are reached without a word
+        self.regions: dict[int, tuple[Region, int]] = {}  # of a region's state: what it allows, and the state behind
         self.last = self._add(parts, self._state())
-        self.words = {w for s in self.steps for w in s if w is not None}
-        self.start = self._closed({0})
-        self.known: dict[tuple[frozenset, bytes | None], frozenset] = {}
-        if self.last in self.start:
+        if not mandatory(parts):
             raise ValueError("a template needs a mandatory word")
 
     def _state(self) -> int:
@@ -136,59 +156,54 @@ class Automaton:
 
     def _add(self, parts: list, at: int) -> int:
         for part in parts:
+            to = self._state()
             if isinstance(part, bytes):
-                to = self._state()
                 self.steps[at].setdefault(part, set()).add(to)
-                at = to
             elif part[0] == "optional":
-                end = self._add(part[1], at)
-                to = self._state()
-                self.skips[end].add(to)
                 self.skips[at].add(to)
-                at = to
+                self.skips[self._add(part[1], at)].add(to)
             else:
-                to, chain = self._state(), at
-                for i in range(part[2] + 1):
-                    if i >= part[1]:
-                        self.skips[chain].add(to)
-                    if i < part[2]:
-                        nxt = self._state()
-                        self.steps[chain].setdefault(None, set()).add(nxt)
-                        chain = nxt
-                at = to
+                inside = self._state()
+                self.skips[at].add(inside)
+                self.regions[inside] = Region(part[1]), to
+            at = to
         return at
 
-    def _closed(self, states: set[int]) -> frozenset:
-        todo, out = list(states), set(states)
+    def _closed(self, threads: set[tuple[int, int]], words: list[bytes], at: int) -> set[tuple[int, int]]:
+        """The threads that stand before word ``at``, with those that need no word to get there."""
+        todo, out = list(threads), set()
         while todo:
-            for s in self.skips[todo.pop()]:
-                if s not in out:
-                    out.add(s)
-                    todo.append(s)
-        return frozenset(out)
-
-    def step(self, states: frozenset, word: bytes) -> frozenset:
-        word = word if word in self.words else None
-        if (states, word) not in self.known:
-            to = set()
-            for s in states:
-                to |= self.steps[s].get(None, set())
-                if word is not None:
-                    to |= self.steps[s].get(word, set())
-            self.known[states, word] = self._closed(to)
-        return self.known[states, word]
+            state, since = thread = todo.pop()
+            if thread in out:
+                continue
+            if state in self.regions:
+                region, behind = self.regions[state]
+                since = at if since < 0 else since
+                fits, grows = region.look(words, since, at)
+                if grows:
+                    out.add((state, since))
+                if fits:
+                    todo.append((behind, -1))
+            else:
+                out.add(thread)
+                todo += [(s, -1) for s in self.skips[state]]
+        return out
 
     def first(self) -> set[bytes | None]:
-        return {w for s in self.start for w in self.steps[s]}
+        """Words that a match can start with; None: any."""
+        threads = self._closed({(0, -1)}, [], 0)
+        return {w for s, _ in threads for w in self.steps[s]} | ({None} if any(s in self.regions for s, _ in threads) else set())
 
     def accepts(self, words: list[bytes], at: int) -> bool:
         """Whether the wording stands from place ``at`` on."""
-        states = self.start
+        threads = self._closed({(0, -1)}, words, at)
         for i in range(at, len(words)):
-            states = self.step(states, words[i])
-            if self.last in states:
+            moved = {(to, -1) for s, _ in threads for to in self.steps[s].get(words[i], ())}
+            moved |= {t for t in threads if t[0] in self.regions}
+            threads = self._closed(moved, words, i + 1)
+            if (self.last, -1) in threads:
                 return True
-            if not states:
+            if not threads:
                 return False
         return False
 
@@ -254,23 +269,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
-def pattern(parts: list) -> str:
-    """The regular expression of a template over words that each end in a blank, for the SQL check."""
-    out = ""
-    for p in parts:
-        if isinstance(p, bytes):
-            out += p.decode() + " "
-        elif p[0] == "optional":
-            out += f"(?:{pattern(p[1])})?"
-        else:
-            out += f"(?:[^ ]+ ){{{p[1]},{p[2]}}}"
+def pattern(template: str) -> str:
+    """The markup as a regular expression over words that each end in a blank, for the SQL check."""
+    out, at = "", 0
+    for m in [*_MARK.finditer(template), None]:
+        out += "".join(w.decode() + " " for w in words_of(template[at : m.start() if m else len(template)]))
+        if m:
+            at = m.end()
+            out += {"beginOptional": "(?:", "endOptional": ")?"}.get(m[1]) or f"(?:(?:{_rule(m[2])}) )" + "?" * (re.fullmatch(_rule(m[2]), "") is not None)
     return out
 
 
 def oracle() -> str:
     """DuckDB SQL for scan() with the templates above."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    hits = ", ".join(f"CASE WHEN regexp_matches(line, ' {pattern(parse(t))}') THEN '{k}' END" for k, t in sorted(TEMPLATES.items()))
+    hits = ", ".join(f"CASE WHEN regexp_matches(line, ' {pattern(t)}') THEN '{k}' END" for k, t in sorted(TEMPLATES.items()))
     starts = " ".join(f"WHEN {' AND '.join(f'lead(w, {i}) OVER o = {chr(39)}{w.decode()}{chr(39)}' if i else f'w = {chr(39)}{w.decode()}{chr(39)}' for i, w in enumerate(_BASE[p]))} THEN '{label}'" for p, label in BASE.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
