@@ -7,14 +7,15 @@ without payload, that name its record in WARC-Refers-To.
 
 Archives are gzip files of WARC/1.1 records in the shared folder, written by Spark's text
 writer (a record ends in two line ends, which is the writer's line separator) and so safe
-against lost tasks.  Reading takes each file whole, so files hold ``FILE_RECORDS`` records at
-most; records are parted by their Content-Length alone.
+against lost tasks.  Reading takes each file whole, so a file holds about ``FILE_BYTES`` at most:
+pages are written in classes of size, each with so many records a file.  Records are parted by
+their Content-Length alone.
 
 Assembling joins requests and metadata to responses by the identifiers, giving one nested row
 per capture, and looks up what a revisit's full payload was at the response it refers to.
 
-Edge cases: a null html is an empty payload.  A null url is empty; control characters in it
-are percent-encoded.  Pages that repeat page_id and payload share their records' names; each
+Edge cases: a null html is an empty payload.  A null url is empty; each control character in it
+is percent-encoded.  A page_id may be of any type that casts to and from text.  Pages that repeat page_id and payload share their records' names; each
 gives one capture, a response where its page_id is the largest.  A null page_id is smaller
 than any other; if all of a payload's are null, all are responses.  No pages: no captures.
 """
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 
 from flowlattice.llm.common import BROADCAST_ROWS, shared_dir, written
 
-#: Records of an archive file at most.
-FILE_RECORDS = 3000
+#: Bytes of an archive file before compression, about, and the largest payload of each class of pages (the last has the rest).
+FILE_BYTES, CLASSES = 64_000_000, (20_000, 300_000, 5_000_000)
 #: Pages have no date, so all records have this one.
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
 #: Digits of base 32 as Spark's conv writes them, and as RFC 4648 does.
+#: Control characters.
+_CONTROL = r"[\x00-\x1F\x7F]"
 _CONV, _RFC = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -76,8 +79,7 @@ def classified(pages: DataFrame, least: int = 0) -> DataFrame:
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes the archives of ``pages`` (page_id, url, html) to the folder ``path``."""
     p = classified(pages, least)
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    url = F.regexp_replace(url, r"[\x00-\x1F\x7F]", "%00")
+    url = F.when(F.col("url").rlike(_CONTROL), F.array_join(F.transform(F.split("url", ""), lambda c: F.when(c.rlike(_CONTROL), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")).otherwise(F.col("url"))
     rid = _uuid(F.lit("response"), F.col("page_id"), F.col("digest"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
     host, target = F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1), F.regexp_extract(url, r"^(?:[a-zA-Z]+://[^/?#]*)?([^#]*)", 1)
@@ -91,10 +93,18 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     )
     ask = F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(END + END))
     request = _record(F.lit("request"), _uuid(F.lit("request"), F.col("page_id"), F.col("digest")), ask, [uri, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/http; msgtype=request"))])
-    notes = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(END)), F.lit("")), F.lit("via: pages"), F.lit(END))
+    notes = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.url_encode(F.col("page_id").cast("string")), F.lit(END)), F.lit("")), F.lit("via: pages"), F.lit(END))
     metadata = _record(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("page_id"), F.col("digest")), notes, [uri, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields"))])
-    rows = p.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    rows.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    # three records a page; classes that no page is in are not written
+    there = pages.select(_class(F.octet_length("html")).alias("c")).distinct().collect()
+    for c in sorted(r.c for r in there):
+        rows = p.where(_class(F.col("n")) == c).select(F.explode(F.array(request, response, metadata)).alias("value"))
+        most = 3 * max(1, FILE_BYTES // CLASSES[c]) if c < len(CLASSES) else 3
+        rows.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/class-{c}")
+
+
+def _class(n: Column) -> Column:
+    return sum((F.coalesce(n, F.lit(0)) > most).cast("int") for most in CLASSES)
 
 
 def records_of(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -140,7 +150,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                         rows = []
                 yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(run, RECORD)
 
 
@@ -151,8 +161,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One row a capture: record_id, page_id, record_type, refers_to (a record), and the structs response, request, metadata."""
+def assemble(records: DataFrame, page_type: str = "bigint") -> DataFrame:
+    """One row a capture: record_id, page_id (of the given type), record_type, refers_to (a record), and the structs response, request, metadata."""
     def side(kind: str) -> DataFrame:
         # records that repeat have one name and say the same
         own = records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("record_id"))
@@ -161,8 +171,8 @@ def assemble(records: DataFrame) -> DataFrame:
     captures = records.where(F.col("type").isin("response", "revisit"))
     captures = captures.select("record_id", F.col("type").alias("record_type"), "refers_to", F.struct("target_uri", "digest_field", "payload_bytes", "payload_digest", "payload").alias("response"))
     out = captures.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
-    page = F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1)
-    return out.withColumn("page_id", F.when(page != "", page.cast("long")))
+    page = F.regexp_extract("metadata.fields", r"page-id: ([^\r\n]*)", 1)
+    return out.withColumn("page_id", F.when(F.col("metadata.fields").contains("page-id: "), F.url_decode(page)).cast(page_type))
 
 
 def captures(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -171,7 +181,7 @@ def captures(pages: DataFrame, least: int = 0) -> DataFrame:
     path = shared_dir(spark, "warc")
     write(pages, path, least)
     records = written(read(spark, path, payload=False).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
-    own = written(assemble(records).select("record_id", "page_id", "record_type", "refers_to", "response.payload_bytes", "response.payload_digest", "response.target_uri"), "captures")
+    own = written(assemble(records, pages.schema["page_id"].dataType.simpleString()).select("record_id", "page_id", "record_type", "refers_to", "response.payload_bytes", "response.payload_digest", "response.target_uri"), "captures")
     to = own.where("record_type = 'response'").groupBy(F.col("record_id").alias("t_id")).agg(F.max("page_id").alias("t_page"), F.first("payload_bytes").alias("t_bytes"), F.first("payload_digest").alias("t_digest"))
     to = written(to.join(own.where("record_type = 'revisit'").select(F.col("refers_to").alias("t_id")).distinct(), "t_id"), "referred")
     side = F.broadcast(to) if to.count() <= BROADCAST_ROWS else to
@@ -183,7 +193,7 @@ def oracle() -> str:
     """DuckDB SQL for page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri."""
     digits = " || ".join(f"substr('{_RFC}', 1 + (('0x' || substr(h, {5 * c + 1}, 5))::INTEGER >> {15 - 5 * k}) % 32, 1)" for c in range(8) for k in range(4))
     return f"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+WITH p AS (SELECT page_id, array_to_string(list_transform(string_split(coalesce(url, ''), ''), lambda c: CASE WHEN regexp_matches(c, '{_CONTROL}') THEN printf('%%%02X', ascii(c)) ELSE c END), '') AS target_uri, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, {digits} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to, target_uri FROM m"""
