@@ -11,6 +11,9 @@ score from above; the k-th largest exact score of some rows bounds the k-th best
 Rows whose upper bound falls short are proven out.  When few are left (or no segment is), all
 that are left get exact scores.  The best k of each block are then merged.
 
+Scores are exact: in 64-bit whole numbers where doubles might not hold them.  Vectors whose scores
+might not fit into 64 bits are an error, as the result could not be stated.
+
 Edge cases: a vector that is null or holds a null or non-finite component takes no part.  A
 shorter vector counts as 0 beyond its end.  Rows that repeat a query's vec_id are none of its
 candidates; a query row that repeats another asks once.  Rows with a null vec_id ask nothing
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
+#: Components have to be less than so much, so that impacts are whole doubles.
+LARGEST = 2.0**44
 #: Candidates of a block and queries of a block, about.
 BLOCK_ROWS, QUERY_ROWS = 4096, 4096
 #: Impacts that share a segment (a power of two), segments of a round, and rows that are few enough to rescore.
@@ -37,7 +42,7 @@ class Index:
     """The segments of one block, and its vectors for exact scores."""
 
     def __init__(self, ids: np.ndarray, impacts: np.ndarray) -> None:
-        self.ids, self.exact = ids, impacts.astype(np.float64)
+        self.ids, self.exact, self.whole = ids, impacts.astype(np.float64), impacts
         n, dims = impacts.shape
         level = impacts // LEVEL
         low = int(level.min()) if level.size else 0
@@ -53,6 +58,15 @@ class Index:
         self.most = np.maximum.reduceat(values, self.starts).astype(np.float64) if len(values) else np.zeros(0)
         self.quantised = np.maximum(abs(self.least), abs(self.most))
 
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact scores of rows."""
+        reach = float(self.quantised.max(initial=0)) * float(abs(query).max(initial=0)) * max(len(query), 1)
+        if reach >= 2.0**62:
+            raise ValueError("components are too large for scores of 64 bits")
+        if reach < 2.0**53:
+            return (self.exact[rows] @ query).astype(np.int64)
+        return self.whole[rows] @ query.astype(np.int64)
+
     def top(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(vec_id, score) of the block's best k for one query."""
         free = self.ids != own
@@ -74,11 +88,12 @@ class Index:
             rest = np.zeros(len(query))
             np.maximum.at(rest, self.dim[open_], bound[open_])
             best = np.argpartition(-sums, k - 1)[:k]
-            floor = (self.exact[best] @ query).min()
-            left = np.flatnonzero(sums + rest.sum() >= floor)
+            floor = self.scores(best, query).min()
+            slack = 1e-9 * (abs(bound).sum() + 1)  # of the sums of doubles
+            left = np.flatnonzero(sums + rest.sum() >= floor - slack)
             if len(left) <= max(FEW, k):
                 break
-        score = self.exact[left] @ query
+        score = self.scores(left, query)
         own_best = np.lexsort((self.ids[left], -score))[:k]
         return [(int(self.ids[left[i]]), int(score[i])) for i in own_best]
 
@@ -99,7 +114,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def impacts(df: DataFrame) -> DataFrame:
         sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         df = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(SCALE * x.cast("double")).cast("long")).alias("v"))
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.when(F.abs(x) < LARGEST, F.floor(SCALE * x.cast("double"))).otherwise(F.raise_error(F.lit("a component is too large"))).cast("long")).alias("v"))
 
     base, asked = impacts(vectors), impacts(queries).dropDuplicates(["vec_id", "v"])
     n, m = base.count(), asked.count()
