@@ -6,13 +6,14 @@ a bounded sample of labelled rows, each feature j gets
 
     r_j = ln((n1_j + 1) / (N1 + 2)) - ln((n0_j + 1) / (N0 + 2))
 
+(counted by Spark; only features that matter, and rows cut down to them, reach the driver)
 with n1_j of N1 toxic and n0_j of N0 clean rows that have it; logistic regression is then
 fitted to presence * r.  A last shift of the intercept puts 0.5 where the sample's error,
 weighted by the classes' true shares, is least.
 
 Edge cases: a null or empty text has no feature and gets the intercept's score.  Labels that
 are null, or whose doc_id is null or unknown, teach nothing; a doc_id with several labels
-counts as toxic if one says so.  No label, or one class alone: the score is that class's share
+counts as toxic if one says so, and one with several texts teaches that of the smallest hash.  No label, or one class alone: the score is that class's share
 (0 without labels).  Repeated rows score alike.  Extra columns are not read.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.llm.common import hash_share, held_out
+from flowlattice.llm.common import hash_share, held_out, slices, written
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -77,51 +78,69 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFr
     return known.where(keep), share
 
 
+def learned(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """toxic, ids (the features): one row a picked doc_id."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [features(t) for t in b.column("text").to_pylist()]
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("tk"), ids], names=["doc_id", "toxic", "tk", "ids"])
+
+    # the sample is bounded, so its ids may be broadcast; texts stay where they are
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tk"), "text")
+    rows = joined.mapInArrow(gather, f"doc_id {kind}, toxic int, tk string, ids array<int>")
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "ids"), "tk").alias("x")).select("x.toxic", "x.ids")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, their weights (w * r), and the intercept."""
     picked, share = sample_rows(docs, labels, sample)
+    rows = written(learned(docs, picked), "learned")
+    total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    none = np.zeros(0, np.int32), np.zeros(0, np.float32), logit(share)
+    if len(total) < 2:
+        return none
+    n, hits = F.count("*"), F.sum("toxic")
+    counts = rows.select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(hits.cast("long").alias("n1"), (n - hits).cast("long").alias("n0"))
+    counts = counts.where(F.col("n1") + F.col("n0") >= min(MIN_ROWS, sum(total.values()) / 10)).toPandas().sort_values("id")  # 2^BITS at most
+    ratio = ratios(counts["n1"].to_numpy(), counts["n0"].to_numpy(), total[1], total[0])
+    told = np.abs(ratio) >= MIN_RATIO
+    ids, ratio = counts["id"].to_numpy()[told].astype(np.int32), ratio[told]
+    if not len(ids):
+        return none
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [features(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "ids": pa.array(rows, pa.binary())})
+            own = [np.intersect1d(x.values.to_numpy(), ids, assume_unique=True).astype("<i4").tobytes() for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(own, pa.binary())], names=["toxic", "own"])
 
-    # the sample is bounded, so its ids may be broadcast; texts stay where they are
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    rows = joined.mapInArrow(gather, "toxic int, ids binary").limit(4 * sample).collect()
-    rows = sorted(((r.toxic, bytes(r.ids)) for r in rows))
-    return train(np.array([y for y, _ in rows], bool), [np.frombuffer(x, np.int32) for _, x in rows], share)
-
-
-def train(toxic: np.ndarray, rows: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, float]:
-    none = np.zeros(0, np.int32), np.zeros(0, np.float32)
-    if toxic.all() or not toxic.any():
-        return *none, logit(share)
-    size = 1 << BITS
-    n1, n0 = np.zeros(size), np.zeros(size)
-    for y, ids in zip(toxic, rows, strict=True):
-        (n1 if y else n0)[ids] += 1
+    got = sorted((r.toxic, bytes(r.own)) for r in rows.mapInArrow(known, "toxic int, own binary").collect())
+    return train(np.array([y for y, _ in got], bool), [np.frombuffer(x, "<i4") for _, x in got], ids, ratio, share)
+
+
+def ratios(n1: np.ndarray, n0: np.ndarray, total1: int, total0: int) -> np.ndarray:
+    """Naive Bayes log-count ratios."""
+    return np.log((n1 + 1) / (total1 + 2)) - np.log((n0 + 1) / (total0 + 2))
+
+
+def train(toxic: np.ndarray, rows: list[np.ndarray], ids: np.ndarray, ratio: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression of presence * ratio; rows hold ids alone."""
     total1, total0 = int(toxic.sum()), int((~toxic).sum())
-    ratio = np.log((n1 + 1) / (total1 + 2)) - np.log((n0 + 1) / (total0 + 2))
-    ids = np.flatnonzero((n1 + n0 >= min(MIN_ROWS, len(rows) / 10)) & (np.abs(ratio) >= MIN_RATIO))
-    if not len(ids):
-        return *none, logit(share)
-    place = np.full(size, -1, np.int32)
-    place[ids] = np.arange(len(ids))
-    own = [(p := place[x])[p >= 0] for x in rows]
-    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    col, r = np.concatenate(own), ratio[ids]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    col, r = np.searchsorted(ids, np.concatenate(rows)), ratio
     weight = np.where(toxic, 0.5 / total1, 0.5 / total0)
     w, b = np.zeros(len(ids)), 0.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.bincount(row, (w * r)[col], len(own)) + b
+        z = np.bincount(row, (w * r)[col], len(rows)) + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic)
         grad = np.append(np.bincount(col, g[row], len(ids)) * r + L2 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    z = np.bincount(row, (w * r)[col], len(own))
+    z = np.bincount(row, (w * r)[col], len(rows))
     return ids.astype(np.int32), (w * r).astype(np.float32), -cut(z, toxic, share)
 
 
@@ -181,7 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     held, weights, bias = fit(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = scores(b.column("text").to_pylist(), held, weights, bias)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
