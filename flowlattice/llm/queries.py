@@ -36,7 +36,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(_table(spark, sf_dir, "documents")).drop("source", "k")
+    return mixing.taken(_table(spark, sf_dir, "documents")).drop("source")
 
 
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
