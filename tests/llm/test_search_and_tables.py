@@ -40,6 +40,20 @@ def test_a_full_memory_changes_nothing(monkeypatch):
         assert [x.decode() for x in c.decode(got)] == texts
 
 
+@pytest.mark.parametrize("near", [8, 1])
+def test_long_words_agree_with_the_library(monkeypatch, near):
+    monkeypatch.setattr(bpe, "NEAR", near)  # so few tokens around a seam that it has to be widened
+    c = bpe.Coder(RANKS, bpe.merge_table(RANKS), public_tokenizers.PATTERN)
+    r = random.Random(6)
+    letters = lambda k, n: "".join(r.choice(k) for _ in range(n))
+    texts = [" ".join(letters("abcdefghijklmnopqrstuvwxyz", 250) for _ in range(400)), letters("ab", 9000), "x" + "a" * 9001, "xab" + "abc" * 3000, "-" * 7001, " " * 5001 + "x", "the" * 2000 + "re" * 500]
+    texts += ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)), letters("01", 5000), letters("aeiou", 120_000)]
+    got = c.encode(texts)
+    for t, x in zip(texts, got, strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == ENC.encode_ordinary(t)
+    assert [x.decode() for x in c.decode(got)] == texts
+
+
 def test_bpe_frames(docs):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     df = docs(*enumerate(ODD))
@@ -50,7 +64,9 @@ def test_bpe_frames(docs):
     coded = bpe.encoded(df, path, pattern)
     assert coded.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids"]
     assert {r.doc_id: r.text for r in bpe.decoded(coded, path, pattern).collect()} == {i: t or "" for i, t in enumerate(ODD)}
-    assert bpe.digests(df.where("false"), path, pattern).count() == 0
+    assert bpe.digests(df.where("false"), path, pattern).count() == 0 and bpe.encoded(df.where("false"), path, pattern).count() == 0
+    clash = bpe.encoded(df.withColumn("ids", F.lit("mine")).withColumn("w", F.lit(1)), path, pattern)
+    assert clash.columns == ["doc_id", "lang", "source", "n_chars", "w", "n_tokens", "ids"] and clash.count() == len(ODD)
 
 
 # ---- search
@@ -80,6 +96,19 @@ def test_search_of_little(spark):
     assert impact_search.search(df, df.where("false")).count() == 0 and impact_search.search(df.where("false"), df).count() == 0
 
 
+def test_search_of_large_components_repeats_and_clashes(spark):
+    big = [[float(x) for x in np.random.default_rng(i).integers(-(2**20), 2**20, 4)] for i in range(60)]
+    rows = [(i, v) for i, v in enumerate(big)] + [(50, big[50]), (7, big[9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("g", F.lit(2))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in impact_search.search(df, df.where("vec_id = 50")).collect())
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    want = sorted((-sum(a * b for a, b in zip(whole[50][1], v, strict=True)), i) for i, v in whole if i != 50)[:5]
+    assert got == [(50, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    with pytest.raises(Exception, match="too large"):
+        huge = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+        impact_search.search(huge, huge).collect()
+
+
 def test_search_stops_on_proof():
     r = np.random.default_rng(3)
     base = r.integers(-40, 40, (2000, 16))
@@ -107,6 +136,15 @@ def test_warc(spark):
     assert warc.captures(df.where("false")).count() == 0
 
 
+def test_warc_keeps_any_id_and_large_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (10, 100))
+    monkeypatch.setattr(warc, "FILE_BYTES", 200)
+    df = spark.createDataFrame([(f"p {i}\r\n/é", "http://h/\ta\x7f", "x" * (i * 7)) for i in range(40)] + [(None, None, None)], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.captures(df).collect()}
+    assert set(got) == {f"p {i}\r\n/é" for i in range(40)} | {None}
+    assert all(got[f"p {i}\r\n/é"].payload_bytes == 7 * i for i in range(40)) and got["p 3\r\n/é"].target_uri == "http://h/%09a%7F"
+
+
 def test_warc_payloads_and_nesting(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 3}\r\n\r\n" * 5) for i in range(9)], "page_id long, url string, html string")
     path = warc.shared_dir(spark, "test")
@@ -170,9 +208,9 @@ def near_docs(seed=4):
     return list(enumerate(out)) + [(900, None), (901, ""), (902, " \n "), (903, None)]
 
 
-@pytest.mark.parametrize("paired", [24, 6])
-def test_classes_agree_with_all_pairs(docs, monkeypatch, paired):
-    monkeypatch.setattr(order_minhash, "PAIRED", paired)
+@pytest.mark.parametrize("small", [24, 6])
+def test_classes_agree_with_all_pairs(docs, monkeypatch, small):
+    monkeypatch.setattr(order_minhash, "SMALL", small)
     rows = near_docs()
     words = {i: order_minhash.word_hashes(t or "") for i, t in rows}
     root = {i: i for i, _ in rows}
@@ -194,34 +232,55 @@ def test_classes_agree_with_all_pairs(docs, monkeypatch, paired):
     assert left == {i for i, _ in rows if find(i) == i}
 
 
-@pytest.mark.parametrize("n", [20, 100, 300])
-@pytest.mark.parametrize("alike", [0.8, 0.85, 0.9])
+@pytest.mark.parametrize("n", [20, 100, 300, 2000])
+@pytest.mark.parametrize("alike", [0.8, 0.82, 0.84, 0.86, 0.88, 0.9, 0.92, 0.94, 0.96, 0.98, 1.0])
 def test_similar_texts_share_a_sketch(n, alike):
     r = np.random.default_rng(n)
     met = 0
-    for _ in range(200):
+    rounds = 200 if n < 2000 else 50
+    for _ in range(rounds):
         x = r.integers(0, 1 << 32, n, dtype=np.uint32)
         y, k = x.copy(), int((1 - alike) * n + 1e-9)
         y[r.choice(n, k, replace=False)] = r.integers(0, 1 << 32, k, dtype=np.uint32)
         met += bool((order_minhash.sketches(x) == order_minhash.sketches(y)).any())
-    print(n, alike, met / 200)
-    assert met >= 190 if n > 20 else met >= 180
+    assert met >= 0.95 * rounds
 
 
-@pytest.mark.parametrize("block", [2048, 7])
+@pytest.mark.parametrize("block", [1024, 7])
 def test_a_large_bucket_loses_no_link(docs, monkeypatch, block):
-    monkeypatch.setattr(order_minhash, "PAIRED", 6)
-    monkeypatch.setattr(order_minhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(order_minhash, "SMALL", 6)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
     drift = [" ".join(f"w{i}" for i in range(9 * k, 9 * k + 100)) for k in range(30)]  # each is like the next one only
     other = [" ".join([f"p{i}" for i in range(15)] + [f"x{k // 2}-{i}" for i in range(80 + k % 2)]) for k in range(30)]  # pairs behind a passage of all
     df = docs(*enumerate(drift + other))
     nodes = order_minhash.nodes_of(df).withColumn("sk", F.array(F.lit(1).cast("long")))  # one bucket
-    root = {r.node: r.root for r in order_minhash.components(order_minhash.links(df, nodes)).collect()}
-    name = [hashlib.md5(t.encode()).hexdigest() for t in drift + other]
+    root = {bytes(r.node): bytes(r.root) for r in order_minhash.components(order_minhash.links(df, nodes)).collect()}
+    name = [hashlib.md5(t.encode()).digest() for t in drift + other]
     assert len({root.get(x, x) for x in name[:30]}) == 1
     assert [root.get(x, x) for x in name[30::2]] == [root.get(x, x) for x in name[31::2]] and len({root.get(x, x) for x in name}) == 16
 
 
+def test_bounds_reject_no_link():
+    r = random.Random(8)
+    for _ in range(200):
+        x = [r.randrange(30) for _ in range(r.randrange(1, 60))]
+        y = list(x)
+        for _ in range(r.randrange(0, 12)):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randrange(2)] = [r.randrange(30)] * r.randrange(2)
+        d = plain_distance(x, y)
+        a, b = (np.array(z, np.uint32) * np.uint32(0x9E3779B1) for z in (x, y))
+        one, two = order_minhash.apart(order_minhash.fine_bags(a), order_minhash.fine_bags(b))
+        coarse = order_minhash.apart(*(np.frombuffer(order_minhash.bag(z), np.uint8)[None] for z in (a, b)))[0]
+        assert coarse <= d and one <= d and two <= 2 * d
+
+
+def test_one_row_stays_of_each_class(docs):
+    rows = [(1, "t u v"), (1, "t u v"), (1, "t u v"), (None, "w x y"), (None, "w x y"), (2, "t u v"), (3, None), (3, None), (4, "T  u v"), (4, "t u v")]
+    left = order_minhash.kept(docs(*rows)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "-").lower().split()) for r in left) == [(0, ["w", "x", "y"]), (1, ["t", "u", "v"]), (3, ["-"]), (3, ["-"])]
+
+
 def test_no_documents_and_no_ids(docs):
     assert order_minhash.classes(docs((1, "x")).where("false")).count() == 0
     got = order_minhash.classes(docs((None, "a b c"), (None, "a b c"), (3, "a b c"), (None, "z"), (4, ""), (5, ""), (6, " "), (7, None), (8, None))).collect()
