@@ -7,7 +7,7 @@ otherwise.  An account's values are read in order by one task, so this mode does
 from __future__ import annotations
 
 import statistics
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,8 +54,8 @@ def _moved(height: list[float], place: list[int], i: int, step: int) -> float:
 def streaming_medians(events: DataFrame) -> DataFrame:
     """account_id, median_outgoing_amount, median_incoming_amount of account_events(), in order of time."""
 
-    def run(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        g = groups.sort_values(["t", "ord"], kind="stable")
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["t", "ord"], kind="stable")
         return pd.DataFrame({"account_id": [g["account_id"].iloc[0]], "median_outgoing_amount": [p_square_median(g.loc[g["out"] == 1, "out_amount"])], "median_incoming_amount": [p_square_median(g.loc[g["inc"] == 1, "in_amount"])]})
 
     rows = events.select("account_id", "t", "ord", "out", "inc", "out_amount", "in_amount")

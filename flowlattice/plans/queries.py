@@ -21,6 +21,7 @@ from flowlattice.operators.velocity import velocity
 from flowlattice.plans.assessment import aggregate, apportioned, level, ordered, scored
 from flowlattice.plans.evidence import union
 from flowlattice.plans.report import reports
+from flowlattice.plans.views import timeline_rows
 from flowlattice.sources import transactions as src
 from flowlattice.sources.annotations import attempts
 
@@ -187,9 +188,9 @@ def features_left_join(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).select("account_id", "transaction_count", "bank_name", "entity_name")
 
 
-def _fan_sql(account: str, party: str, amount: str, least: int = 5, hours: int = 24) -> str:
+def _fan_sql(account: str, party: str, amount: str, least: int = 5, hours: int = 24, count: int = 5) -> str:
     return f"""WITH {TX}, w AS (SELECT {account} AS account, t, ord, list({party}) OVER x AS l FROM tx WINDOW x AS (PARTITION BY {account} ORDER BY t RANGE BETWEEN {hours * HOUR} PRECEDING AND CURRENT ROW)),
-c AS (SELECT account, t, len(list_distinct(l)) AS d, len(l) AS n FROM w WHERE len(list_distinct(l)) >= {least} AND len(l) >= 5),
+c AS (SELECT account, t, len(list_distinct(l)) AS d, len(l) AS n FROM w WHERE len(list_distinct(l)) >= {least} AND len(l) >= {count}),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY account ORDER BY d DESC, n DESC, t) = 1),
 s AS (SELECT b.account, b.d, tx.ord, tx.timestamp, tx.t, tx.{party} AS party, tx.{amount} AS amount FROM b JOIN tx ON tx.{account} = b.account AND tx.t BETWEEN b.t - {hours * HOUR} AND b.t),
 u AS (SELECT account, party, min((t, ord)) AS o FROM s GROUP BY ALL), l AS (SELECT account, array_to_string(list(party ORDER BY o)[:20], ',') AS parties FROM u GROUP BY account),
@@ -397,8 +398,7 @@ def report_header(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"{ASSESS} SELECT account AS primary_account_id, row_number() OVER (PARTITION BY account ORDER BY start_time, end_time, kind, detector)::INTEGER AS step, start_time AS timestamp, end_time, kind AS typology, detector, n AS transaction_count, round(amount, 4) AS amount FROM al")
 def report_timeline(spark: SparkSession, d: str) -> DataFrame:
-    r = reports(_scored(spark, d)).select("primary_account_id", F.posexplode("timeline").alias("i", "e"))
-    return r.select("primary_account_id", (F.col("i") + 1).alias("step"), "e.timestamp", "e.end_time", "e.typology", "e.detector", "e.transaction_count", _r(F.col("e.amount")).alias("amount"))
+    return timeline_rows(reports(_scored(spark, d))).drop("description").withColumn("amount", _r(F.col("amount")))
 
 
 @_query(f"{ASSESS} SELECT account AS primary_account_id, (1 + (kinds > 1)::INT + (evidence_count > 1)::INT + 1 + 1)::INTEGER AS findings, CASE WHEN score >= 75 THEN 5 WHEN score >= 50 THEN 4 WHEN score >= 25 THEN 3 ELSE 2 END::INTEGER AS actions, least(evidence_count, 8)::INTEGER AS summaries FROM fin")
@@ -407,11 +407,11 @@ def report_findings(spark: SparkSession, d: str) -> DataFrame:
     return r.select("primary_account_id", F.size("key_findings").alias("findings"), F.size("recommended_actions").alias("actions"), F.size("evidence_summary").alias("summaries"))
 
 
-@_query("SELECT event_id, '$' || format('{:,.2f}', value) AS full_text, CASE WHEN abs(value * 1000) >= 1e6 THEN '$' || format('{:,.1f}', value * 1000 / 1e6) || 'M' WHEN abs(value * 1000) >= 1e3 THEN '$' || format('{:,.1f}', value * 1000 / 1e3) || 'K' ELSE '$' || format('{:,.2f}', value * 1000) END AS compact, " + _ISO.format("ts") + " AS iso FROM events WHERE value <> 0")
+@_query("SELECT event_id, '$' || format('{:,.2f}', value) AS full_text, CASE WHEN abs(value * 1000) >= 1e6 THEN '$' || format('{:,.1f}', value * 1000 / 1e6) || 'M' WHEN abs(value * 1000) >= 1e3 THEN '$' || format('{:,.1f}', value * 1000 / 1e3) || 'K' ELSE '$' || format('{:,.2f}', value * 1000) END AS compact, " + _ISO.format("ts") + " AS iso FROM events")
 def formatting(spark: SparkSession, d: str) -> DataFrame:
     from flowlattice.functions.columns import iso
 
-    e = spark.read.parquet(f"{d}/events.parquet").where("value <> 0")
+    e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", money(F.col("value")).alias("full_text"), money(F.col("value") * 1000, True).alias("compact"), iso(F.col("ts")).alias("iso"))
 
 
@@ -441,8 +441,12 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import flowlattice.plans.source_queries  # noqa: F401  (registers its queries)
+
     return {k: f for k, (f, _) in _registry.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    import flowlattice.plans.source_queries  # noqa: F401
+
     return {k: sql for k, (_, sql) in _registry.items()}

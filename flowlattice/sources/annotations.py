@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlattice.sources.transactions import RAW_COLUMNS
+from flowlattice.sources.transactions import RAW_COLUMNS, in_order
 
 #: How a block's lines start.
 BEGIN, END = "BEGIN LAUNDERING ATTEMPT", "END LAUNDERING ATTEMPT"
@@ -13,8 +13,8 @@ BEGIN, END = "BEGIN LAUNDERING ATTEMPT", "END LAUNDERING ATTEMPT"
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """attempts() of text files; a block never spans files."""
-    raw = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    return attempts(raw)
+    raw = spark.read.text(path)
+    return attempts(in_order(raw.select("value", F.col("_metadata"))).select("value", F.col("_metadata.file_path").alias("file"), F.col("ord").alias("line")))
 
 
 def attempts(lines: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Transactions and account metadata as DataFrames of a fixed schema.
 
 Raw files are read as text in explicit, positional schemas: headers may repeat a name, and bank
-ids keep their leading zeros.  ``ord`` is a row's place in the input; it breaks all ties.
-Timestamps have no zone.
+ids keep their leading zeros.  ``ord`` gives a row's place in the input, files in order of their
+paths; it breaks all ties.  Timestamps have no zone.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import require
+from flowlattice.functions.materialise import written
 
 #: Canonical columns in file order, and default file names.
 RAW_COLUMNS = (
@@ -23,13 +24,31 @@ ACCOUNT_COLUMNS = ("bank_name", "bank_id", "account_number", "entity_id", "entit
 TRANSACTION_FILE, ACCOUNT_FILE = "HI-Small_Trans.csv", "HI-Small_accounts.csv"
 GENERIC_COLUMNS = ("transaction_id", "customer_id", "amount", "timestamp", "transaction_type", "counterparty", "country")
 TIME_FORMATS = ("yyyy/MM/dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd")
+#: Splits whose paths may be broadcast.
+BROADCAST_SPLITS = 100_000
 #: Columns taken as text, and as numbers.
 _TEXT = ("from_bank", "sender_account", "to_bank", "receiver_account", "receiving_currency", "payment_currency", "payment_format")
 
 
-def resolve(path: str, default: str) -> str:
-    """A file's own path, or a folder's default file."""
-    return path if path.lower().endswith((".csv", ".csv.gz", ".txt")) else f"{path.rstrip('/')}/{default}"
+def resolve(spark: SparkSession, path: str, default: str) -> str:
+    """A file or a pattern as it is; of a folder its default file, or, if it has none, the folder with all its parts."""
+    if any(c in path for c in "*?[{") or path.lower().endswith((".csv", ".csv.gz", ".txt")):
+        return path
+    inner = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{default}")
+    return inner.toString() if inner.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(inner) else path
+
+
+def in_order(raw: DataFrame) -> DataFrame:
+    """``raw``, just read from files, with ord: rising within a split as rows are read, and splits by path and place in the file.
+
+    Spark deals splits to tasks by size, so a task's rows alone say nothing of the order of files.
+    """
+    own = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    splits = raw.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")).distinct()
+    splits = written(splits.withColumn("__nth", F.row_number().over(Window.orderBy("__file", "__start")) - 1), "splits")  # a row a split
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
+    ord_ = (F.shiftleft(F.col("__nth").cast("long"), 33) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord")
+    return own.join(splits, ["__file", "__start"]).select(*raw.columns, ord_)
 
 
 def parsed_time(x: Column) -> Column:
@@ -71,13 +90,16 @@ def selected(tx: DataFrame, start: str | None = None, end: str | None = None, ac
     return tx
 
 
-def read_transactions(spark: SparkSession, path: str, *, chunksize: int = 100_000, **select) -> DataFrame:
-    """The canonical transactions of a CSV file; ``select`` as in selected(). Splits stand for chunks."""
-    if chunksize <= 0:
+def read_transactions(spark: SparkSession, path: str, *, chunksize: int | None = None, **select) -> DataFrame:
+    """The canonical transactions of CSV files; ``select`` as in selected().
+
+    Splits stand for chunks, so a chunksize changes nothing; one that is not positive is an error all the same.
+    """
+    if chunksize is not None and chunksize <= 0:
         raise ValueError("chunksize must be positive")
     schema = ", ".join(f"`{c}` string" for c in RAW_COLUMNS)
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(resolve(path, TRANSACTION_FILE))
-    return selected(normalise(raw.withColumn("ord", F.monotonically_increasing_id())), **select)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(resolve(spark, path, TRANSACTION_FILE))
+    return selected(normalise(in_order(raw)), **select)
 
 
 def sample_transactions(spark: SparkSession, path: str, max_rows: int = 1000) -> DataFrame:
@@ -91,8 +113,8 @@ def first_per_account(accounts: DataFrame) -> DataFrame:
 
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(", ".join(f"`{c}` string" for c in ACCOUNT_COLUMNS)).option("header", True).option("enforceSchema", True).csv(resolve(path, ACCOUNT_FILE))
-    raw = raw.select(*(F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ACCOUNT_COLUMNS), F.monotonically_increasing_id().alias("ord"))
+    raw = spark.read.schema(", ".join(f"`{c}` string" for c in ACCOUNT_COLUMNS)).option("header", True).option("enforceSchema", True).csv(resolve(spark, path, ACCOUNT_FILE))
+    raw = in_order(raw).select(*(F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ACCOUNT_COLUMNS), "ord")
     return first_per_account(raw)
 
 
