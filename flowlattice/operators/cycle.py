@@ -26,13 +26,14 @@ def paths(tx: DataFrame, min_hops: int, max_hops: int, max_elapsed_hours: float)
     """Every account cycle once, by its first occurrence: accounts, steps (array of t, ord, ...), hops.
 
     Each hop is strictly later than the one before, none is later than W after the first, and no account comes twice.
-    Paths grow by joins on account and time bucket; every hop's paths are written, so that no hop is joined twice.  First: the smallest sequence of (t, ord).
+    Paths grow by joins on account and time bucket; every hop's paths are written, so that no hop is joined twice.  They carry
+    times and numbers of edges alone; what else an edge has is joined to the cycles that are found.  First: the smallest sequence of (t, ord).
     """
     width = window_micros(max_elapsed_hours)
     edges = prepare(tx, "cycle").where((F.col("sender") != F.col("receiver")) & (F.col("sender") != "") & (F.col("receiver") != ""))
     amount = F.col("paid") if "amount_paid" in tx.columns else F.col("received")
-    edges = written(pruned(edges.select("sender", "receiver", "t", "ord", "timestamp", amount.alias("amount"), "ref", *ENTITIES)), "edges")
-    step = F.struct("t", "ord", "timestamp", "amount", "ref", *ENTITIES)
+    edges = written(pruned(edges.select("sender", "receiver", "t", "ord", "timestamp", amount.alias("amount"), "ref", *ENTITIES)).withColumn("edge", F.monotonically_increasing_id()), "edges")
+    step = F.struct("t", "ord", "edge")
     nxt = edges.select(F.col("sender").alias("at"), F.col("receiver").alias("to"), F.col("t").alias("t_next"), F.floor(F.col("t") / width).alias("b"), step.alias("step"))
     live = edges.select(F.col("sender").alias("start"), F.col("receiver").alias("at"), F.col("t").alias("t0"), F.col("t").alias("t1"), F.array("sender", "receiver").alias("accounts"), F.array(step).alias("steps"))
     found = None
@@ -49,7 +50,11 @@ def paths(tx: DataFrame, min_hops: int, max_hops: int, max_elapsed_hours: float)
         live = grown.where(F.col("to") != F.col("start")).select("start", F.col("to").alias("at"), "t0", F.col("t_next").alias("t1"), F.concat("accounts", F.array("to")).alias("accounts"), "steps")
     place = F.transform("steps", lambda s: F.struct(s["t"], s["ord"]))
     first = found.groupBy(rotated(F.col("accounts")).alias("key")).agg(F.min_by(F.struct("start", "accounts", "steps"), place).alias("x"))
-    return first.select("x.*", F.size("x.steps").alias("hops"))
+    first = written(first.select("key", "x.*"), "cycles")
+    steps = first.select("key", F.posexplode("steps").alias("place", "s")).select("key", "place", F.col("s.edge").alias("edge"))
+    whole = F.struct("place", "t", "ord", "timestamp", "amount", "ref", *ENTITIES)
+    steps = steps.join(edges, "edge").groupBy("key").agg(F.array_sort(F.collect_list(whole)).alias("steps"))  # max_hops steps
+    return first.drop("steps").join(steps, "key").select("start", "accounts", "steps", F.size("steps").alias("hops"))
 
 
 def cycles(tx: DataFrame, min_hops: int = 3, max_hops: int = 6, max_elapsed_hours: float = 24) -> DataFrame:

@@ -1,8 +1,11 @@
 """Fan-out and fan-in: many counterparties of an account within a sliding time window.
 
 A window is closed: [t - W, t], ending at a transaction.  The account's best window has the most counterparties,
-then the most transactions, then the earliest end.  Windows are computed per account and time bucket of width W
-(each row also serves the next bucket as history), so a busy account is spread over many tasks.
+then the most transactions, then the earliest end.
+
+A row is the latest of its counterparty for windows that end from its time on, up to that counterparty's next row or to
+its own time + W.  So it adds one to the counterparties there, and one to the transactions up to its time + W; running
+sums of these changes, within short spans of time and then over spans, give every window's counts in one pass.
 """
 
 from __future__ import annotations
@@ -16,14 +19,34 @@ from flowlattice.operators.prepare import prepare
 from flowlattice.plans.evidence import evidence, parameters
 
 
+#: Spans of a window's width, within which changes are summed first: a busy account's day is dealt to so many tasks.
+SPANS = 64
+
+
+def changes(rows: DataFrame, width: int) -> DataFrame:
+    """account, e, d, n, ends: by how much the counts of windows that end at e or later change at e; whether a row stands there."""
+    rows = rows.select("account", "party", "t", "ord", F.floor(F.col("t") / F.lit(width)).alias("b"))
+    # a counterparty's next row: of the same stretch of time, or the first of the next one; any later one is out of reach
+    after = rows.groupBy("account", "party", (F.col("b") - 1).alias("b")).agg(F.min("t").alias("after"))
+    inner = F.lead("t").over(Window.partitionBy("account", "party", "b").orderBy("t", "ord"))
+    rows = rows.withColumn("inner", inner).join(after, ["account", "party", "b"], "left")
+    out = F.col("t") + F.lit(width + 1)
+    event = lambda e, d, n, ends: F.struct(e.alias("e"), F.lit(d).alias("d"), F.lit(n).alias("n"), F.lit(ends).alias("ends"))
+    three = F.array(event(F.col("t"), 1, 1, 1), event(F.least(F.coalesce("inner", "after"), out), -1, 0, 0), event(out, 0, -1, 0))
+    return rows.select("account", F.inline(three)).groupBy("account", "e").agg(F.sum("d").alias("d"), F.sum("n").alias("n"), F.max("ends").alias("ends"))
+
+
 def best_windows(rows: DataFrame, width: int, min_distinct: int, min_count: int) -> DataFrame:
-    """account, d, n, t_end of each account's best window; ``rows`` has account, party and t."""
-    bucket = F.floor(F.col("t") / F.lit(width))
-    both = rows.select("account", "party", "t", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).withColumn("b", bucket + F.col("later"))
-    frame = Window.partitionBy("account", "b").orderBy("t").rangeBetween(-width, 0)
-    got = both.withColumn("d", F.size(F.collect_set("party").over(frame))).withColumn("n", F.count("*").over(frame))
-    got = got.where((F.col("later") == 0) & (F.col("d") >= min_distinct) & (F.col("n") >= min_count))
-    best = got.groupBy("account").agg(F.max(F.struct("d", "n", (-F.col("t")).alias("m"))).alias("x"))
+    """account, d, n, t_end of each account's best window; ``rows`` has account, party, t and ord."""
+    own = changes(rows, width).withColumn("b", F.floor(F.col("e") / F.lit(max(1, width // SPANS))))
+    spans = own.groupBy("account", "b").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    before = Window.partitionBy("account").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("account", "b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in ("d", "n")))
+    upto = Window.partitionBy("account", "b").orderBy("e")
+    got = own.select("account", "b", "e", "ends", F.sum("d").over(upto).alias("d"), F.sum("n").over(upto).alias("n")).where("ends = 1")
+    got = got.join(spans, ["account", "b"]).select("account", "e", (F.col("d") + F.col("b_d")).cast("int").alias("d"), (F.col("n") + F.col("b_n")).alias("n"))
+    got = got.where((F.col("d") >= min_distinct) & (F.col("n") >= min_count))
+    best = got.groupBy("account").agg(F.max(F.struct("d", "n", (-F.col("e")).alias("m"))).alias("x"))
     return best.select("account", "x.d", "x.n", (-F.col("x.m")).alias("t_end"))
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlattice.operators.cycle import cycles
-from flowlattice.operators.fan import fan_in, fan_out
+from flowlattice.functions.columns import micros
+from flowlattice.operators.fan import best_windows, fan_in, fan_out
 from flowlattice.operators.gather_scatter import gather_scatter
 from flowlattice.operators.scatter_gather import scatter_gather
 from flowlattice.plans.evidence import EVIDENCE, violations
@@ -37,6 +38,32 @@ def test_fan_out_leaves_others_alone(tx, make):
     assert rows(fan_out(tx(*make()))) == []
 
 
+def test_fan_windows_agree_with_loops(tx, spark):
+    r = random.Random(12)
+    data = [(r.randrange(0, 600), r.choice("AB"), r.choice("RSTUV")) for _ in range(250)]  # many ties in time
+    df = tx(*data).select(F.col("sender_account").alias("account"), F.col("receiver_account").alias("party"), micros(F.col("timestamp")).alias("t"), "ord")
+    for width in (0, 7, 45, 10_000):
+        got = {x.account: (x.d, x.n, x.t_end) for x in best_windows(df, width * 60_000_000, 2, 3).collect()}
+        base, want = df.agg(F.min(F.col("t"))).first()[0] - min(m for m, *_ in data) * 60_000_000, {}
+        for a in "AB":
+            own = [(m, p) for m, s, p in data if s == a]
+            seen = [(len({p for m, p in own if e - width <= m <= e}), sum(e - width <= m <= e for m, _ in own), -e) for e in {m for m, _ in own}]
+            if best := max((x for x in seen if x[0] >= 2 and x[1] >= 3), default=None):
+                want[a] = (best[0], best[1], base - best[2] * 60_000_000)
+        assert got == want, width
+
+
+def test_a_hub_with_very_many_rows(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        n = F.col("id")
+        rows = spark.range(300_000).select(F.lit("hub").alias("account"), F.concat(F.lit("p"), (n % 5_000).cast("string")).alias("party"), (n * 250_000).alias("t"), n.alias("ord"))
+        (x,) = best_windows(rows, 24 * 3_600_000_000, 5, 5).collect()
+        assert (x.account, x.d, x.n) == ("hub", 5_000, 300_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+
 def test_fan_window_is_closed(tx):
     edge = star_out(4) + [(DAY, "A", "Z")]
     assert len(rows(fan_out(tx(*edge)))) == 1
