@@ -129,6 +129,7 @@ def _report(context: Context, p: dict[str, Any]) -> dict[str, Any]:
 
 
 def default_tools() -> list[Tool]:
+    # fixed values: the names of tools and of their parameters
     own = [
         FunctionTool("feature_engineering", _features),
         FunctionTool("fan_out_detector", _detector(fan_out, ("min_distinct_receivers", "time_window_hours", "min_transaction_count"))),
