@@ -97,7 +97,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     metadata = _record(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("page_id"), F.col("digest")), notes, [uri, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields"))])
     # three records a page; classes that no page is in are not written
     there = pages.select(_class(F.octet_length("html")).alias("c")).distinct().collect()
-    for c in sorted(r.c for r in there):
+    for c in sorted(r.c for r in there) or [0]:
         rows = p.where(_class(F.col("n")) == c).select(F.explode(F.array(request, response, metadata)).alias("value"))
         most = 3 * max(1, FILE_BYTES // CLASSES[c]) if c < len(CLASSES) else 3
         rows.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/class-{c}")
