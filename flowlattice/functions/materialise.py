@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,10 +30,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts a plan that has grown long; what is written outlives executors."""
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more (what ``written`` returned; None is passed over).
+
+    Shuffle files of the steps before go too, as soon as Spark's cleaner learns from the collectors that nobody holds them.
+    """
+    there = [t for t in tables if t is not None]
+    for t in there:
+        _delete(t.sparkSession, t._written_at)
+    if there:
+        gc.collect()
+        there[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's written tables; results that still read them can't be used afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "x")).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark, "x").rpartition("/")[0])
