@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlattice.llm import bpe, hyperlang, impact_search, licences, line_dedup, mixing, order_minhash, toxicity, warc, webp
+from flowlattice.llm import bpe, hyperlang, impact_search, licences, line_dedup, mixing, order_minhash, periodic_runs, phrase_automata, spelling_variants, toxicity, warc, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelled(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_webp_payloads, op2_licence_templates, op3_warc_captures, op4_impact_topk, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op9_order_minhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_webp_payloads, op2_licence_templates, op3_warc_captures, op4_impact_topk, op5_byte_bpe, op6_source_mix, op7_line_windows, op8_toxicity, op9_order_minhash, op10_language_id, op11_phrase_automata, op12_periodic_runs, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licence_templates": licences.oracle(), "op3_warc_captures": warc.oracle(), "op4_impact_topk": impact_search.oracle(), "op6_source_mix": mixing.oracle(), "op7_line_windows": line_dedup.oracle()}
+    return {"op2_licence_templates": licences.oracle(), "op3_warc_captures": warc.oracle(), "op4_impact_topk": impact_search.oracle(), "op6_source_mix": mixing.oracle(), "op7_line_windows": line_dedup.oracle(), "op11_phrase_automata": phrase_automata.oracle()}
