@@ -26,10 +26,10 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/flowlattice-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts a plan that has grown long; what is written outlives executors."""
+def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Cuts a plan that has grown long; what is written outlives executors.  by: a column whose values get a folder each."""
     path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -40,15 +40,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def discard(*tables: DataFrame | None) -> None:
+def discard(*tables: DataFrame | None, shuffles: bool = False) -> None:
     """Deletes written tables that nothing reads any more (what ``written`` returned; None is passed over).
 
-    Shuffle files of the steps before go too, as soon as Spark's cleaner learns from the collectors that nobody holds them.
+    With ``shuffles``, files of the finished steps' shuffles go too: Spark's cleaner deletes them as soon as it learns from
+    the collectors that nobody holds them.
     """
     there = [t for t in tables if t is not None]
     for t in there:
         _delete(t.sparkSession, t._written_at)
-    if there:
+    if there and shuffles:
         gc.collect()
         there[0].sparkSession.sparkContext._jvm.System.gc()
 
