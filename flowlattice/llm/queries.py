@@ -23,7 +23,7 @@ def op2_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.captures(_table(spark, sf_dir, "pages"))
+    return warc.digests(_table(spark, sf_dir, "pages"))
 
 
 def op4_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,11 @@ their Content-Length alone.
 Assembling joins requests and metadata to responses by the identifiers, giving one nested row
 per capture, and looks up what a revisit's full payload was at the response it refers to.
 
-Edge cases: a null html is an empty payload.  A null url is empty; each control character in it
-is percent-encoded.  A page_id may be of any type that casts to and from text.  Pages that repeat page_id and payload share their records' names; each
+The pages are read once: a first pass writes them, with digests and sizes, by class of size; copies are
+found in the narrow columns of that, and each class is read from its own part.
+
+Edge cases: a null html is an empty payload.  A null url is empty; each control character and blank in
+it is percent-encoded.  A page_id may be of any type that casts to and from text.  Pages that repeat page_id and payload share their records' names; each
 gives one capture, a response where its page_id is the largest.  A null page_id is smaller
 than any other; if all of a payload's are null, all are responses.  No pages: no captures.
 """
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlattice.functions.materialise import discard
 from flowlattice.llm.common import BROADCAST_ROWS, shared_dir, written
 
 #: Bytes of an archive file before compression, about, and the largest payload of each class of pages (the last has the rest).
@@ -39,9 +43,9 @@ FILE_BYTES, CLASSES = 64_000_000, (20_000, 300_000, 5_000_000)
 #: Pages have no date, so all records have this one.
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
+#: Characters that cannot stand in a header's address.
+_CONTROL = r"[\x00-\x20\x7F]"
 #: Digits of base 32 as Spark's conv writes them, and as RFC 4648 does.
-#: Control characters.
-_CONTROL = r"[\x00-\x1F\x7F]"
 _CONV, _RFC = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -64,10 +68,15 @@ def _record(kind: Column, rid: Column, block: Column, fields: list[tuple[str, Co
     return F.concat(F.concat_ws(END, *lines), F.lit(END + END), block)
 
 
-def classified(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload, n, digest, keeper: the page of the response that a page's record revisits (null: none)."""
+def staged(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, n, digest, class: written by class of size."""
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    p = p.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
+    p = p.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("class", _class(F.col("n")))
+    return written(p, "pages", by="class")
+
+
+def classified(p: DataFrame, least: int = 0) -> DataFrame:
+    """staged() with keeper: the page of the response that a page's record revisits (null: none)."""
     # only payloads that occur again matter further on; most data has few
     again = p.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("largest"), F.count("*").alias("c"))
     again = written(again.where("c > 1").drop("c"), "payloads")
@@ -78,7 +87,8 @@ def classified(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes the archives of ``pages`` (page_id, url, html) to the folder ``path``."""
-    p = classified(pages, least)
+    stage = staged(pages)
+    p = classified(stage, least)
     url = F.when(F.col("url").rlike(_CONTROL), F.array_join(F.transform(F.split("url", ""), lambda c: F.when(c.rlike(_CONTROL), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")).otherwise(F.col("url"))
     rid = _uuid(F.lit("response"), F.col("page_id"), F.col("digest"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
@@ -96,15 +106,15 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     notes = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.url_encode(F.col("page_id").cast("string")), F.lit(END)), F.lit("")), F.lit("via: pages"), F.lit(END))
     metadata = _record(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("page_id"), F.col("digest")), notes, [uri, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields"))])
     # three records a page; classes that no page is in are not written
-    there = pages.select(_class(F.octet_length("html")).alias("c")).distinct().collect()
-    for c in sorted(r.c for r in there) or [0]:
-        rows = p.where(_class(F.col("n")) == c).select(F.explode(F.array(request, response, metadata)).alias("value"))
+    for c in sorted(r[0] for r in stage.select("class").distinct().collect()) or [0]:
+        rows = p.where(F.col("class") == c).select(F.explode(F.array(request, response, metadata)).alias("value"))
         most = 3 * max(1, FILE_BYTES // CLASSES[c]) if c < len(CLASSES) else 3
         rows.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/class-{c}")
+    discard(stage)
 
 
 def _class(n: Column) -> Column:
-    return sum((F.coalesce(n, F.lit(0)) > most).cast("int") for most in CLASSES)
+    return sum((n > most).cast("int") for most in CLASSES)
 
 
 def records_of(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -162,38 +172,59 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def assemble(records: DataFrame, page_type: str = "bigint") -> DataFrame:
-    """One row a capture: record_id, page_id (of the given type), record_type, refers_to (a record), and the structs response, request, metadata."""
-    def side(kind: str) -> DataFrame:
+    """One row a capture: record_id, page_id (of the given type), record_type, refers_to (a record), and the structs request, response, metadata."""
+
+    def side(kind: str, fields: dict[str, str]) -> DataFrame:
         # records that repeat have one name and say the same
         own = records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("record_id"))
-        return own.agg(F.first(F.struct(F.col("record_id").alias("id"), "target_uri", "fields")).alias(kind))
+        said = {name: F.regexp_extract("fields", rule, 1).alias(name) for name, rule in fields.items()}
+        return own.agg(F.first(F.struct(F.col("record_id").alias("id"), "target_uri", *said.values(), "fields")).alias(kind))
 
     captures = records.where(F.col("type").isin("response", "revisit"))
-    captures = captures.select("record_id", F.col("type").alias("record_type"), "refers_to", F.struct("target_uri", "digest_field", "payload_bytes", "payload_digest", "payload").alias("response"))
-    out = captures.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
+    captures = captures.select("record_id", F.col("type").alias("record_type"), "refers_to", F.struct(F.col("record_id").alias("id"), "target_uri", "digest_field", "payload_bytes", "payload_digest", "payload").alias("response"))
+    requests = side("request", {"method": r"^(\S+) ", "target": r"^\S+ (\S*) HTTP/", "host": r"\r\nHost: (\S*)\r\n"})
+    out = captures.join(requests, "record_id", "left").join(side("metadata", {"via": r"(?:^|\r\n)via: ([^\r\n]*)"}), "record_id", "left")
     page = F.regexp_extract("metadata.fields", r"page-id: ([^\r\n]*)", 1)
     return out.withColumn("page_id", F.when(F.col("metadata.fields").contains("page-id: "), F.url_decode(page)).cast(page_type))
 
 
 def captures(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri: writes, reads and assembles."""
+    """Writes, reads and assembles: one nested row a capture.
+
+    page_id, payload_bytes, payload_digest, record_type, refers_to, and the structs request (id, method, target, host),
+    response (id, target_uri, digest_field) and metadata (id, via).
+    """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write(pages, path, least)
     records = written(read(spark, path, payload=False).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
-    own = written(assemble(records, pages.schema["page_id"].dataType.simpleString()).select("record_id", "page_id", "record_type", "refers_to", "response.payload_bytes", "response.payload_digest", "response.target_uri"), "captures")
+    parts = [F.struct(*(F.col(f"{kind}.{c}") for c in names)).alias(kind) for kind, names in (("request", ("id", "method", "target", "host")), ("response", ("id", "target_uri", "digest_field")), ("metadata", ("id", "via")))]
+    own = written(assemble(records, pages.schema["page_id"].dataType.simpleString()).select("record_id", "page_id", "record_type", "refers_to", "response.payload_bytes", "response.payload_digest", *parts), "captures")
     to = own.where("record_type = 'response'").groupBy(F.col("record_id").alias("t_id")).agg(F.max("page_id").alias("t_page"), F.first("payload_bytes").alias("t_bytes"), F.first("payload_digest").alias("t_digest"))
     to = written(to.join(own.where("record_type = 'revisit'").select(F.col("refers_to").alias("t_id")).distinct(), "t_id"), "referred")
     side = F.broadcast(to) if to.count() <= BROADCAST_ROWS else to
     out = own.join(side, own["refers_to"] == side["t_id"], "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "t_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "t_digest").alias("payload_digest"), "record_type", F.col("t_page").alias("refers_to"), "target_uri")
+    return out.select("page_id", F.coalesce("payload_bytes", "t_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "t_digest").alias("payload_digest"), "record_type", F.col("t_page").alias("refers_to"), "request", "response", "metadata")
+
+
+def digests(pages: DataFrame) -> DataFrame:
+    """captures() with the nested columns as one of JSON, and the method and target of the request and the target_uri of the response besides."""
+    nested = F.to_json(F.struct("request", "response", "metadata"), {"ignoreNullFields": "false"})
+    own = captures(pages)
+    return own.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("response.target_uri").alias("target_uri"), F.col("request.method").alias("request_method"), F.col("request.target").alias("request_target"), nested.alias("capture"))
 
 
 def oracle() -> str:
-    """DuckDB SQL for page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri."""
+    """DuckDB SQL for digests()."""
     digits = " || ".join(f"substr('{_RFC}', 1 + (('0x' || substr(h, {5 * c + 1}, 5))::INTEGER >> {15 - 5 * k}) % 32, 1)" for c in range(8) for k in range(4))
+    uuid = lambda kind: f"'<urn:uuid:' || regexp_replace(md5(concat_ws('|', '{kind}', coalesce(page_id::VARCHAR, 'null'), payload_digest)), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') || '>'"
     return f"""
 WITH p AS (SELECT page_id, array_to_string(list_transform(string_split(coalesce(url, ''), ''), lambda c: CASE WHEN regexp_matches(c, '{_CONTROL}') THEN printf('%%%02X', ascii(c)) ELSE c END), '') AS target_uri, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM p)
-SELECT page_id, n::BIGINT AS payload_bytes, {digits} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> top THEN top END AS refers_to, target_uri FROM m"""
+m AS (SELECT *, {digits} AS payload_digest, regexp_extract(target_uri, '^[a-zA-Z]+://([^/?#]*)', 1) AS host, regexp_extract(target_uri, '^(?:[a-zA-Z]+://[^/?#]*)?([^#]*)', 1) AS path, max(page_id) OVER (PARTITION BY h, n) AS top FROM p),
+a AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS target FROM m)
+SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to, target_uri, 'GET' AS request_method, target AS request_target,
+  to_json({{'request': {{'id': {uuid("request")}, 'method': 'GET', 'target': target, 'host': host}},
+    'response': {{'id': {uuid("response")}, 'target_uri': target_uri, 'digest_field': 'sha1:' || payload_digest}},
+    'metadata': {{'id': {uuid("metadata")}, 'via': 'pages'}}}})::VARCHAR AS capture
+FROM a"""
