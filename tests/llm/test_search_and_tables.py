@@ -104,11 +104,43 @@ def test_search_of_large_components_repeats_and_clashes(spark):
     whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
     want = sorted((-sum(a * b for a, b in zip(whole[50][1], v, strict=True)), i) for i, v in whole if i != 50)[:5]
     assert got == [(50, n + 1, i, -s) for n, (s, i) in enumerate(want)]
-    with pytest.raises(Exception, match="too large"):
-        huge = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("rows_a_block", [3, 4096])
+def test_search_of_huge_components(spark, monkeypatch, rows_a_block):
+    """Large rows and queries are scored in whole numbers; only a score that would be returned can be too large."""
+    monkeypatch.setattr(impact_search, "BLOCK_ROWS", rows_a_block)
+    r = random.Random(5)
+    vectors = [(i, [r.uniform(-2, 2), r.uniform(-2, 2), 0.0]) for i in range(20)]
+    # 20 is large but fits; 21 and 22 are far below all others; 23 meets nothing but zeros
+    vectors += [(20, [2.0**45, 2.0**45, 0.0]), (21, [-1e30, -1e30, 0.0]), (22, [-(2.0**45), 0.0, 0.0]), (23, [0.0, 0.0, 1e307])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    exact = {i: [impact_search.whole(x) for x in v] for i, v in vectors}
+    plus = [i for i, v in vectors[:20] if v[0] > 0.1 and v[1] > 0.1]
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in impact_search.search(df, df.where(F.col("vec_id").isin(plus))).collect())
+    want = []
+    for q in plus:
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want) and any(i == 20 for *_, i, _ in got)
+    large = [(x["rank"], x.vec_id, x.score) for x in impact_search.search(df.where("vec_id < 20"), df.where("vec_id = 20")).orderBy("rank").collect()]
+    best = sorted((-sum(a * b for a, b in zip(exact[20], exact[i], strict=True)), i) for i in range(20))[:5]
+    assert large == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        impact_search.search(df, df.where("vec_id = 21")).collect()  # 22 gives it a score of more than 2^63
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1.0]), (2, [-1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leaves 64 bits"):
         impact_search.search(huge, huge).collect()
 
 
+def test_bounds_from_the_first_block_spare_others():
+    r = np.random.default_rng(7)
+    base = r.integers(-40, 40, (500, 8))
+    index, query = impact_search.Index(np.arange(500), base), np.full(8, 50.0)
+    best = index.top(-1, query, 5)
+    assert index.top(-1, query, 5, best[-1][1]) == best and index.top(-1, query, 5, 8 * 40 * 50.0) == []
+
+
 def test_search_stops_on_proof():
     r = np.random.default_rng(3)
     base = r.integers(-40, 40, (2000, 16))
@@ -142,7 +174,7 @@ def test_warc_keeps_any_id_and_large_pages(spark, monkeypatch):
     df = spark.createDataFrame([(f"p {i}\r\n/é", "http://h/\ta\x7f", "x" * (i * 7)) for i in range(40)] + [(None, None, None)], "page_id string, url string, html string")
     got = {r.page_id: r for r in warc.captures(df).collect()}
     assert set(got) == {f"p {i}\r\n/é" for i in range(40)} | {None}
-    assert all(got[f"p {i}\r\n/é"].payload_bytes == 7 * i for i in range(40)) and got["p 3\r\n/é"].target_uri == "http://h/%09a%7F"
+    assert all(got[f"p {i}\r\n/é"].payload_bytes == 7 * i for i in range(40)) and got["p 3\r\n/é"].response.target_uri == "http://h/%09a%7F"
 
 
 def test_warc_payloads_and_nesting(spark):
@@ -158,6 +190,23 @@ def test_warc_payloads_and_nesting(spark):
             assert bytes(r.response.payload).decode() == f"page {r.page_id % 3}\r\n\r\n" * 5 and r.response.digest_field == "sha1:" + r.response.payload_digest
 
 
+def test_captures_are_nested_and_say_what_was_asked(spark):
+    pages = [(1, " http://h.org/a b?q=1#part ", "x"), (2, "https://h.org", "x"), (3, None, "y"), (4, "no host/é", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("class", F.lit("clash")).withColumn("n", F.lit(1))
+    got = {r.page_id: r for r in warc.captures(df).collect()}
+    asked = {i: (r.request.method, r.request.target, r.request.host, r.response.target_uri, r.metadata.via) for i, r in got.items()}
+    assert asked == {1: ("GET", "%20http://h.org/a%20b?q=1", "", "%20http://h.org/a%20b?q=1#part%20", "pages"), 2: ("GET", "/", "h.org", "https://h.org", "pages"), 3: ("GET", "/", "", "", "pages"), 4: ("GET", "no%20host/é", "", "no%20host/é", "pages")}
+    names = {(r.request.id, r.response.id, r.metadata.id) for r in got.values()}
+    assert len({x for own in names for x in own}) == 12 and got[1].record_type == "revisit"
+    # requests and metadata are joined in: without their records, there is nothing to say of them
+    path = warc.shared_dir(spark, "test")
+    warc.write(df, path)
+    records = warc.read(spark, path)
+    assert all(r.request is None and r.metadata is None and r.page_id is None for r in warc.assemble(records.where("type in ('response', 'revisit')")).collect())
+    plan = warc.assemble(records).select("request.method", "metadata.via", "response.target_uri")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "= request)" in plan and "= metadata)" in plan
+
+
 def test_records_are_parted_by_length():
     one = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 4\r\n\r\n\r\n\r\n\r\n\r\n"
     assert [(h["warc-type"], b) for h, b in warc.records_of(io.BytesIO(one * 2))] == [("x", b"\r\n\r\n")] * 2
@@ -232,7 +281,7 @@ def test_classes_agree_with_all_pairs(docs, monkeypatch, small):
     assert left == {i for i, _ in rows if find(i) == i}
 
 
-@pytest.mark.parametrize("n", [20, 100, 300, 2000])
+@pytest.mark.parametrize("n", [*range(3, 21), 24, 28, 32, 33, 36, 40, 41, 50, 64, 100, 300, 2000])
 @pytest.mark.parametrize("alike", [0.8, 0.82, 0.84, 0.86, 0.88, 0.9, 0.92, 0.94, 0.96, 0.98, 1.0])
 def test_similar_texts_share_a_sketch(n, alike):
     r = np.random.default_rng(n)
@@ -246,6 +295,74 @@ def test_similar_texts_share_a_sketch(n, alike):
     assert met >= 0.95 * rounds
 
 
+@pytest.mark.parametrize("n", [*range(5, 60, 3), 200])
+def test_texts_of_unlike_lengths_share_a_sketch(n):
+    """Words put in and left out, across the lengths at which the kind of k-mers changes."""
+    r, met, rounds = np.random.default_rng(n), 0, 200
+    for _ in range(rounds):
+        x = r.integers(0, 1 << 32, n, dtype=np.uint32)
+        d = int(order_minhash.allowed(n))
+        y = np.delete(x, r.choice(n, d, replace=False)) if r.random() < 0.5 else np.insert(x, r.integers(0, n, d), r.integers(0, 1 << 32, d, dtype=np.uint32))
+        met += bool(set(order_minhash.sketches(x).tolist()) & set(order_minhash.sketches(y).tolist()))
+    assert met >= 0.95 * rounds
+
+
+def test_short_pairs_are_found(docs):
+    """Hundreds of pairs of short texts, one word in five changed at most, through the whole operator."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(600):
+        w = [word() for _ in range(5 + k % 26)]
+        y = list(w)
+        for at in r.sample(range(len(w)), len(w) // 5):
+            y[at] = word()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(y))]
+    got = {x.doc_id: x.class_id for x in order_minhash.classes(docs(*rows)).collect()}
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(600))
+    assert sum(got[2 * k + 1] == 2 * k for k in range(600)) >= 590
+
+
+def test_rare_runs_of_similar_texts_meet():
+    r = np.random.default_rng(9)
+    for _ in range(400):
+        n = int(r.integers(1, 60))
+        x = r.integers(0, 9 if n % 2 else 1 << 30, n).astype(np.uint32)
+        y = x.copy()
+        for _ in range(int(r.integers(0, 14))):
+            kind, at = r.integers(3), int(r.integers(max(len(y), 1)))
+            y = np.insert(y, at, r.integers(9)) if kind == 0 else np.delete(y, at) if kind == 1 and len(y) > 1 else np.concatenate((y[:at], [r.integers(9)], y[at + 1 :])).astype(np.uint32)
+        if order_minhash.within(x, y, int(order_minhash.allowed(max(len(x), len(y))))) is None:
+            continue
+        known = np.unique(order_minhash.kmers(x, 2)[::2])
+        counts = r.integers(1, 5, len(known))
+        assert set(order_minhash.rare_kmers(x, known, counts).tolist()) & set(order_minhash.rare_kmers(y, known, counts).tolist())
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_hot_passages_lose_no_link(docs, monkeypatch, block):
+    """Versions of texts behind one passage, some so short that the passage is most of them."""
+    monkeypatch.setattr(order_minhash, "SMALL", 4)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    r = random.Random(block)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    rows = []
+    for k in range(30):
+        own = [word() for _ in range(r.choice([12, 30, 60]))]
+        rows += [passage + own, passage + own[:-2] + [word()], [word(), *passage[1:], *own]]
+    texts = [" ".join(w) for w in rows]
+    got = {x.doc_id: x.class_id for x in order_minhash.classes(docs(*enumerate(texts))).collect()}
+    hashes = [order_minhash.word_hashes(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if order_minhash.within(hashes[j], hashes[i], int(order_minhash.allowed(max(len(hashes[i]), len(hashes[j]))))) is not None:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert [got[i] for i in range(len(texts))] == root and len(set(root)) > 8
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_a_large_bucket_loses_no_link(docs, monkeypatch, block):
     monkeypatch.setattr(order_minhash, "SMALL", 6)
