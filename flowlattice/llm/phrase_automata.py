@@ -34,9 +34,9 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from flowlattice.functions.materialise import discard
 from flowlattice.llm.common import BROADCAST_ROWS, slices, written
@@ -44,9 +44,14 @@ from flowlattice.llm.line_dedup import text_number
 
 WINDOW = 13
 #: Words of the runs that anchors are chosen from, in the first round and the last.
-ANCHORS = (4, WINDOW)
+ANCHORS = (6, WINDOW)
 #: Windows of a shard's homes, of the stretches in one part of a shard, of one stretch, and of one automaton, about.
 SHARD, PART, STRETCH, AUTOMATON = 20_000, 400_000, 20_000, 20_000
+#: Bytes of text that are looked through at once, about.
+CHUNK = 1_000_000
+#: Odd, so that it has an inverse among 64-bit numbers.
+BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -61,19 +66,61 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def anchors_of(words: list[bytes], width: int) -> np.ndarray:
-    """The anchor of each window."""
-    n = len(words) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    runs = np.zeros(len(words) - width + 1, np.uint64)
-    for i in range(width):
-        runs = _mix(runs * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(runs)])
-    least = runs[:n].copy()
-    for i in range(1, WINDOW - width + 1):
-        np.minimum(least, runs[i : i + n], out=least)
-    return least.view(np.int64)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+class Words:
+    """The words of some texts by their places in the texts' bytes: starts, ends, and first, the number of each text's first word."""
+
+    def __init__(self, texts: pa.StringArray) -> None:
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at -= at[0]
+        self.data, inside = data, ~_BLANK[data]
+        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        before[at[:-1][at[:-1] < len(data)]] = False  # a text ends words, too
+        after[at[1:][at[1:] > 0] - 1] = False
+        self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        self.first = np.searchsorted(self.starts, at)
+
+    def hashes(self) -> np.ndarray:
+        """64 bits of every word: its bytes as digits, by sums up to its end and its start."""
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(self.data)), out=sums[1:])
+        return _mix((sums[self.ends] - sums[self.starts]) * _powers(pow(BASE, -1, 1 << 64), len(self.data))[self.starts] + (self.ends - self.starts).astype(np.uint64))
+
+    def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The anchor of every window, text by text, and each text's number of windows."""
+        h, n = self.hashes(), len(self.starts) - WINDOW + 1
+        windows = np.maximum(np.diff(self.first) - (WINDOW - 1), 0)
+        if n < 1:
+            return np.zeros(0, np.int64), windows
+        runs = np.zeros(len(h) - width + 1, np.uint64)
+        for i in range(width):
+            runs = _mix(runs * np.uint64(BASE) + h[i : i + len(runs)])
+        least = runs[:n].copy()
+        for i in range(1, WINDOW - width + 1):
+            np.minimum(least, runs[i : i + n], out=least)
+        own = np.arange(windows.sum()) + np.repeat(self.first[:-1] - (np.cumsum(windows) - windows), windows)  # those inside one text
+        return least[own].view(np.int64), windows
+
+    def text(self, lo: int, hi: int) -> str:
+        """Words lo to hi as they stand."""
+        return self.data[self.starts[lo] : self.ends[hi - 1]].tobytes().decode("utf-8", "surrogatepass")
+
+
+def _chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows, with texts of about CHUNK bytes at once."""
+    size = np.cumsum(pa.compute.binary_length(b.column("text")).to_numpy())
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
 
 
 def _ones(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -89,13 +136,15 @@ def _batch(kind: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def anchored(rows: DataFrame, width: int) -> DataFrame:
-    """m, o: every anchor of every row once."""
+    """m, o: every anchor of every row, once for neighbouring windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            own = [np.unique(anchors_of(words_of(t), width)) for t in b.column("text").to_pylist()]
-            m = np.concatenate(own) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(np.repeat(b.column("o").to_numpy(), [len(x) for x in own]), pa.int64())], names=["m", "o"])
+        for b in batches:
+            for c in _chunks(b):
+                m, windows = Words(c.column("text")).anchors(width)
+                o = np.repeat(c.column("o").to_numpy(), windows)
+                new = np.concatenate(([True], (m[1:] != m[:-1]) | (o[1:] != o[:-1]))) if len(m) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(m[new]), pa.array(o[new], pa.int64())], names=["m", "o"])
 
     return rows.select("o", "text").mapInArrow(run, "m long, o long")
 
@@ -110,37 +159,33 @@ def stretches(rows: DataFrame, width: int) -> DataFrame:
     own = anchored(rows, width).join(side, "m").groupBy("o").agg(F.collect_set(F.struct("m", "home")).alias("known"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out: list[tuple] = []
-            lists, size = b.column("known"), 0
-            flat, at = lists.flatten(), lists.offsets.to_numpy()
-            ms, homes = flat.field("m").to_numpy(), flat.field("home").to_numpy()
-            for i, (o, tk, start, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("o", "tk", "start", "text")), strict=True)):
-                words = words_of(t)
-                m = anchors_of(words, width)
-                if not len(m):
-                    continue
-                lo = at[i] - at[0]
-                mine = ms[lo : at[i + 1] - at[0]]
-                order = np.argsort(mine, kind="stable")
-                place = np.minimum(np.searchsorted(mine[order], m), len(order) - 1)
-                known = mine[order][place] == m
-                home = homes[lo : at[i + 1] - at[0]][order][place]
-                new = np.concatenate(([True], (home[1:] != home[:-1]) | (known[1:] != known[:-1])))
-                first = np.flatnonzero(new)
-                for f, e in zip(first.tolist(), np.append(first[1:], len(m)).tolist(), strict=True):
-                    for s in range(f, e if known[f] else f, STRETCH):
-                        n = min(e - s, STRETCH)
-                        text = b" ".join(words[s : s + n + WINDOW - 1]).decode("utf-8", "surrogatepass")
-                        out.append((int(home[f]), o, tk, start + s, n, text))
-                        size += len(text)
-                if size > 4_000_000:
-                    yield _batch(PIECE, out)
-                    out, size = [], 0
-            yield _batch(PIECE, out)
+        for b in batches:
+            for c in _chunks(b):
+                words, out = Words(c.column("text")), []
+                anchors, windows = words.anchors(width)
+                lists = c.column("known")
+                flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ms, homes = flat.field("m").to_numpy(), flat.field("home").to_numpy()
+                done = 0
+                for i, (o, tk, start) in enumerate(zip(*(c.column(x).to_pylist() for x in ("o", "tk", "start")), strict=True)):
+                    m = anchors[done : done + windows[i]]
+                    done += len(m)
+                    if not len(m):
+                        continue
+                    mine = ms[at[i] : at[i + 1]]
+                    order = np.argsort(mine, kind="stable")
+                    mine = mine[order]
+                    place = np.minimum(np.searchsorted(mine, m), len(mine) - 1)
+                    known, home = mine[place] == m, homes[at[i] : at[i + 1]][order][place]
+                    first = np.flatnonzero(np.concatenate(([True], (home[1:] != home[:-1]) | (known[1:] != known[:-1]))))
+                    for f, e in zip(first.tolist(), [*first[1:].tolist(), len(m)], strict=True):
+                        for s in range(f, e if known[f] else f, STRETCH):
+                            n = min(e - s, STRETCH)
+                            out.append((int(home[f]), o, tk, start + s, n, words.text(int(words.first[i]) + s, int(words.first[i]) + s + n + WINDOW - 1)))
+                yield _batch(PIECE, out)
 
     cut_out = written(rows.join(own, "o").select("o", "tk", "start", "text", "known").mapInArrow(cut, PIECE), "stretches")
-    discard(again)
+    discard(again, shuffles=True)
     return cut_out
 
 
@@ -217,9 +262,9 @@ def covered(docs: DataFrame) -> DataFrame:
     found, before = None, None
     for width in ANCHORS:
         pieces = stretches(rows, width)
-        discard(before)  # what this round's stretches came from
+        discard(before)  # this round's stretches came from it
         now = searched(pieces)
-        discard(pieces)
+        discard(pieces, shuffles=True)
         hits = written(now.where("text is null").select("o", "tk", "start", "stop"), "hits")
         found = hits if found is None else found.unionByName(hits)
         rows, before = now.where("text is not null").select("o", "tk", "start", "text"), now

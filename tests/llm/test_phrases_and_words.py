@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,13 +98,18 @@ def test_a_hot_passage_is_dealt_to_parts(docs, monkeypatch):
     assert got == {i: 50 if i else 0 for i in range(300)}
 
 
-def test_anchors_are_shared_by_equal_windows():
+def test_words_and_anchors():
     r = random.Random(4)
-    a, b = ([b"%d" % r.randrange(999) for _ in range(40)] for _ in range(2))
+    a, b = ([f"{r.randrange(999)}é" for _ in range(40)] for _ in range(2))
+    texts = ["", " ".join(a), "x", " \n".join(b[:9] + a[5:30] + b[9:]) + "\t", " ".join(a[:12]), "x", "y"]
+    own = phrase_automata.Words(pa.array(["skipped", *texts]).slice(1))
+    assert [own.text(i, i + 1) for i in range(len(own.starts))] == [w for t in texts for w in t.split()]
+    assert own.first.tolist() == [0, 0, 40, 41, 106, 118, 119, 120]
+    h = dict(zip(own.hashes().tolist(), [w for t in texts for w in t.split()], strict=True))
+    assert len(h) == len(set(h.values())) == len(set(a) | set(b) | {"x", "y"})
     for width in phrase_automata.ANCHORS:
-        one, two = phrase_automata.anchors_of(a, width), phrase_automata.anchors_of(b[:9] + a[5:30] + b[9:], width)
-        assert (one[5:18] == two[9:22]).all() and len(one) == 28
-        assert len(phrase_automata.anchors_of(a[:12], width)) == 0
+        m, windows = own.anchors(width)
+        assert windows.tolist() == [0, 28, 0, 53, 0, 0, 0] and (m[5:18] == m[28 + 9 : 28 + 22]).all()
 
 
 # ---- periodic runs
