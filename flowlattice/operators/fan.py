@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlattice.functions.columns import at_least_one, first_unique, severity, window_micros
+from flowlattice.functions.columns import at_least_one, exact_sum, first_unique, severity, window_micros
 from flowlattice.functions.materialise import written
 from flowlattice.operators.prepare import prepare
 from flowlattice.plans.evidence import evidence, parameters
@@ -64,7 +64,7 @@ def slices(tx: DataFrame, outgoing: bool, min_distinct: int = 5, hours: float =
 def _fan(tx: DataFrame, outgoing: bool, min_distinct: int, hours: float, min_count: int) -> DataFrame:
     own = slices(tx, outgoing, min_distinct, hours, min_count)
     order = ["t", "ord"]
-    base = own.groupBy("account").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.first("d").alias("d"))
+    base = own.groupBy("account").agg(F.count("*").alias("n"), exact_sum(F.col("amount")).alias("amount"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.first("d").alias("d"))
     base = base.join(first_unique(own, "account", "party", order, "parties"), "account", "left")
     base = base.join(first_unique(own, "account", "ref", order, "refs"), "account", "left")
     entity = "receiver_entity_id" if outgoing else "sender_entity_id"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.functions.columns import LISTED, first_unique, severity, unique_in_order, window_micros
+from flowlattice.functions.columns import LISTED, exact_sum, first_unique, severity, unique_in_order, window_micros
 from flowlattice.functions.materialise import written
 from flowlattice.operators.prefix import prefixes, within
 from flowlattice.operators.prepare import prepare
@@ -32,7 +32,7 @@ def gather_scatter(tx: DataFrame, min_distinct_incoming_senders: int = 3, min_di
     both = gather.unionByName(scatter).join(targets.select("account"), "account", "left_semi")
     at = lambda agg, phase: agg(F.when(F.col("phase") == phase, F.col("timestamp")))
     base = both.groupBy("account").agg(
-        F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
+        F.count("*").alias("n"), exact_sum(F.col("amount")).alias("amount"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
         F.transform(F.array_sort(F.collect_list(F.struct("t", "phase", "ord", "ref"))), lambda x: x["ref"]).alias("refs"),
         at(F.max, 0).alias("gather_end"), at(F.min, 1).alias("scatter_start"), at(F.max, 1).alias("scatter_end"), at(F.min, 0).alias("gather_start"),
     )

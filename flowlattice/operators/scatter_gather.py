@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.functions.columns import LISTED, severity, unique_in_order, window_micros
+from flowlattice.functions.columns import LISTED, exact_sum, severity, unique_in_order, window_micros
 from flowlattice.functions.materialise import written
 from flowlattice.operators.prefix import prefixes, within
 from flowlattice.operators.prepare import ENTITIES, prepare
@@ -16,7 +16,10 @@ def scatter_gather(tx: DataFrame, min_intermediaries: int = 2, max_time_window_h
     """Evidence of accounts whose first K receivers all pay a common account, each after its own receipt and by t0 + W.
 
     The destination is neither the origin nor an intermediary; of several, the one reached first by all, then the
-    smallest id.  The interval join is keyed by account and time bucket.
+    smallest id.
+
+    Of an origin's legs, the one whose intermediary pays least brings up the destinations; the payments of the others, hubs
+    mostly, are looked up for these alone, by intermediary, destination and time bucket.
     """
     if min_intermediaries < 2:
         return empty(tx.sparkSession)
@@ -26,12 +29,22 @@ def scatter_gather(tx: DataFrame, min_intermediaries: int = 2, max_time_window_h
     ends, parties = (written(x, "prefixes") for x in prefixes(paid, min_intermediaries))
     legs = parties.join(ends, "account").select(F.col("account").alias("origin"), F.col("party").alias("via"), "met", "r", (F.col("t0") + width).alias("until"))
     others = legs.groupBy("origin").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "via", "met"))), lambda x: F.struct(x["via"].alias("via"), x["met"].alias("met"))).alias("legs"))
-    # a leg's payments lie within W of the receipt's bucket or the next
-    probe = legs.withColumn("b", F.explode(F.array(F.floor(F.col("met") / width), F.floor(F.col("met") / width) + 1)))
     onward = rows.select(F.col("sender").alias("via"), F.col("receiver").alias("dest"), "t", "ord", F.col("paid").alias("amount"), "ref", "timestamp", *ENTITIES).withColumn("b", F.floor(F.col("t") / width))
-    hits = probe.join(onward, ["via", "b"]).where((F.col("t") > F.col("met")) & (F.col("t") <= F.col("until")) & (F.col("dest") != "") & (F.col("dest") != F.col("origin")))
+    onward = onward.where(F.col("dest") != "")
+    # a leg's payments lie in the bucket of the receipt or the next
+    buckets = lambda df: df.withColumn("b", F.explode(F.array(F.floor(F.col("met") / width), F.floor(F.col("met") / width) + 1)))
+    load = onward.groupBy("via", "b").agg(F.count("*").alias("load"))
+    loads = buckets(legs).join(load, ["via", "b"], "left").groupBy("origin", "r").agg(F.coalesce(F.sum("load"), F.lit(0)).alias("load"))
+    seed = loads.groupBy("origin").agg(F.min(F.struct("load", "r")).alias("x")).select("origin", F.col("x.r").alias("seed"))
+    legs = written(legs.join(seed, "origin").withColumn("seed", F.col("r") == F.col("seed")), "legs")
+    inside = (F.col("t") > F.col("met")) & (F.col("t") <= F.col("until"))
+    payment = F.min(F.struct("t", "ord", "amount", "ref", "timestamp", *ENTITIES)).alias("f")
+    hits = buckets(legs.where("seed")).join(onward, ["via", "b"]).where(inside & (F.col("dest") != F.col("origin")))
     hits = hits.join(legs.select("origin", F.col("via").alias("dest")), ["origin", "dest"], "left_anti")
-    first = hits.groupBy("origin", "via", "dest").agg(F.min(F.struct("t", "ord", "amount", "ref", "timestamp", *ENTITIES)).alias("f"))
+    first = written(hits.groupBy("origin", "via", "dest").agg(payment), "seeds")
+    asked = first.select("origin", "dest").join(legs.where("not seed").select("origin", "via", "met", "until"), "origin")
+    first = first.unionByName(buckets(asked).join(onward, ["via", "dest", "b"]).where(inside).groupBy("origin", "via", "dest").agg(payment))
+    first = written(first, "first")
     common = first.groupBy("origin", "dest").agg(F.count("*").alias("c"), F.max("f.t").alias("latest")).where(F.col("c") == min_intermediaries)
     best = common.groupBy("origin").agg(F.min(F.struct("latest", "dest")).alias("x")).select("origin", F.col("x.dest").alias("dest"))
     last = first.join(best, ["origin", "dest"]).select(F.col("origin").alias("account"), "dest", "via", "f.*").withColumn("phase", F.lit(1))
@@ -39,7 +52,7 @@ def scatter_gather(tx: DataFrame, min_intermediaries: int = 2, max_time_window_h
     cols = ["account", "dest", "t", "ord", "timestamp", F.col("amount"), "ref", "phase", *ENTITIES]
     both = start.withColumn("amount", F.col("paid")).withColumn("phase", F.lit(0)).select(*cols).unionByName(last.select(*cols))
     base = both.groupBy("account", "dest").agg(
-        F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
+        F.count("*").alias("n"), exact_sum(F.col("amount")).alias("amount"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
         F.max(F.when(F.col("phase") == 0, F.col("timestamp"))).alias("scatter_end"),
         F.array_sort(F.collect_list(F.struct("t", "phase", "ord", "ref", *ENTITIES))).alias("rows"),
     )

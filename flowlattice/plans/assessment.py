@@ -78,10 +78,12 @@ def aggregate(evidence: DataFrame) -> DataFrame:
     e = apportioned(written(ordered(evidence), "evidence"))
     a = e.groupBy("primary_account_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("place"), *((F.to_json(f.name).alias(f.name) if f.name == "detector_parameters" else F.col(f.name)) for f in EVIDENCE), F.col("fresh"), F.col("share")))).alias("e"),
-        F.sum(F.col("transaction_count") * F.col("share")).alias("transactions"), F.sum(F.col("total_amount") * F.col("share")).alias("amount"),
         F.min("start_time").alias("assessment_start_time"), F.max("end_time").alias("assessment_end_time"), F.sum("repeats").alias("raw"),
     )
     each = lambda n: F.transform("e", lambda x: x[n])
+    # added in the order of evidence, so that the sum is always the same
+    shares = lambda n: F.aggregate("e", F.lit(0.0), lambda total, x: total + x[n] * x["share"])
+    a = a.withColumn("transactions", shares("transaction_count")).withColumn("amount", shares("total_amount"))
     a = a.select(
         "primary_account_id", F.size("e").cast("long").alias("evidence_count"), unique_in_order(each("typology")).alias("typologies_detected"), unique_in_order(each("detector_name")).alias("detector_names"),
         unique_in_order(F.flatten(F.transform("e", lambda x: F.concat(F.array(x["primary_account_id"]), x["involved_account_ids"])))).alias("involved_account_ids"),

@@ -195,7 +195,7 @@ b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY account ORDER BY d
 s AS (SELECT b.account, b.d, tx.ord, tx.timestamp, tx.t, tx.{party} AS party, tx.{amount} AS amount FROM b JOIN tx ON tx.{account} = b.account AND tx.t BETWEEN b.t - {hours * HOUR} AND b.t),
 u AS (SELECT account, party, min((t, ord)) AS o FROM s GROUP BY ALL), l AS (SELECT account, array_to_string(list(party ORDER BY o)[:20], ',') AS parties FROM u GROUP BY account),
 r AS (SELECT account, array_to_string(list('row-' || ord ORDER BY t, ord)[:20], ',') AS refs FROM s GROUP BY account),
-e AS (SELECT account, d, count(*) AS n, sum(amount) AS amount, min(timestamp) AS start_time, max(timestamp) AS end_time FROM s GROUP BY account, d)"""
+e AS (SELECT account, d, count(*) AS n, sum(amount::DECIMAL(28,6))::DOUBLE AS amount, min(timestamp) AS start_time, max(timestamp) AS end_time FROM s GROUP BY account, d)"""
 
 
 _FAN = """ SELECT account AS primary_account_id, parties AS involved, start_time, end_time, n AS transaction_count, round(amount, 4) AS total_amount, least(1.0, d / 5.0)::DOUBLE AS evidence_strength,
@@ -252,7 +252,7 @@ g AS (SELECT e.account, 0 AS phase, tx.timestamp, tx.t, tx.ord, tx.amount_receiv
 s AS (SELECT e.account, 1 AS phase, tx.timestamp, tx.t, tx.ord, tx.amount_paid AS amount, tx.receiver_account AS party, {_ref("tx")} AS ref FROM e JOIN tx ON tx.sender_account = e.account AND tx.t > e.s1[1] AND tx.t <= e.t0 + {DAY}),
 a AS (SELECT * FROM g WHERE account IN (SELECT account FROM s) UNION ALL SELECT * FROM s),
 p AS (SELECT account, phase, party, min((t, ord)) AS o FROM a GROUP BY ALL), l AS (SELECT account, phase, list(party ORDER BY o)[:20] AS ps FROM p GROUP BY ALL),
-b AS (SELECT account, count(*) AS n, sum(amount) AS amount, min(timestamp) AS start_time, max(timestamp) AS end_time, array_to_string(list(ref ORDER BY t, phase, ord), ',') AS refs FROM a GROUP BY account),
+b AS (SELECT account, count(*) AS n, sum(amount::DECIMAL(28,6))::DOUBLE AS amount, min(timestamp) AS start_time, max(timestamp) AS end_time, array_to_string(list(ref ORDER BY t, phase, ord), ',') AS refs FROM a GROUP BY account),
 i AS (SELECT x.account, list_concat([x.account], x.ps, y.ps) AS v, len(x.ps) AS ni, len(y.ps) AS no FROM l x JOIN l y ON x.account = y.account AND x.phase = 0 AND y.phase = 1),
 j AS (SELECT account, list(v1 ORDER BY o)[:20] AS v FROM (SELECT account, v1, min(o) AS o FROM (SELECT account, unnest(v) AS v1, generate_subscripts(v, 1) AS o FROM i) GROUP BY ALL) GROUP BY account)
 SELECT b.account AS primary_account_id, array_to_string(j.v, ',') AS involved, start_time, end_time, n AS transaction_count, round(amount, 4) AS total_amount, 1.0::DOUBLE AS evidence_strength,
@@ -275,7 +275,7 @@ a AS (SELECT m.account, m.dest, tx.timestamp, tx.t, tx.ord, 0 AS phase, tx.amoun
   UNION ALL SELECT m.account, m.dest, tx.timestamp, tx.t, tx.ord, 1, tx.amount_paid, {_ref("tx")} FROM m JOIN d ON d.account = m.account AND d.dest = m.dest JOIN tx ON tx.ord = d.f[2]),
 v AS (SELECT account, list(via ORDER BY r) AS vs FROM q GROUP BY account)
 SELECT a.account AS primary_account_id, array_to_string(list_concat(list_concat(CASE WHEN list_contains(any_value(vs), a.account) THEN [] ELSE [a.account] END, any_value(vs)), [a.dest]), ',') AS involved, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS transaction_count,
-  round(sum(amount), 4) AS total_amount, 1.0::DOUBLE AS evidence_strength, 'low' AS severity, array_to_string(list(ref ORDER BY t, phase, ord), ',') AS refs FROM a JOIN v USING (account) GROUP BY a.account, a.dest"""
+  round(sum(amount::DECIMAL(28,6))::DOUBLE, 4) AS total_amount, 1.0::DOUBLE AS evidence_strength, 'low' AS severity, array_to_string(list(ref ORDER BY t, phase, ord), ',') AS refs FROM a JOIN v USING (account) GROUP BY a.account, a.dest"""
 
 
 def _sg(df: DataFrame) -> DataFrame:
