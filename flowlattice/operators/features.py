@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import MICROS_PER_HOUR, exact_sum, micros, number, require
+from flowlattice.operators.sketched_median import sketched_medians
 from flowlattice.operators.streaming_median import streaming_medians
 from flowlattice.sources.feature_store import FeatureSet
 
@@ -36,7 +37,8 @@ class FeatureConfig:
     round_amount_tolerance: float = 0.01
     rapid_gap_minutes: float = 60.0
     sample_rows: int = 2_000
-    #: "exact", "approximate" (bounded memory however many amounts an account has), "streaming" (in order of arrival) or "none".
+    #: "exact", "approximate" (bounded memory however many amounts an account has), "sketch" (that too, mergeable, with a stated
+    #: error of rank), "streaming" (in order of arrival) or "none".
     median: str = "exact"
 
 
@@ -86,12 +88,16 @@ def counts_and_amounts(e: DataFrame, median: str = "exact") -> DataFrame:
     )
 
 
-def distinct_counts(e: DataFrame) -> DataFrame:
-    """Different counterparties (not oneself), banks, formats and currencies of every account, in one pass."""
+def distinct_values(e: DataFrame) -> DataFrame:
+    """account_id, kind, value, out, inc: an account's counterparties, banks, formats and currencies, and the roles it met them in."""
     kinds = [("party", "party"), ("bank", "bank"), ("format", "format"), ("paid_in", "paid_in"), ("got_in", "got_in")]
     one = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds))).alias("x")
     values = e.select("account_id", "out", "inc", one).select("account_id", "out", "inc", "x.*").where(F.col("value").isNotNull())
-    values = values.groupBy("account_id", "kind", "value").agg(F.max("out").alias("out"), F.max("inc").alias("inc"))
+    return values.groupBy("account_id", "kind", "value").agg(F.max("out").alias("out"), F.max("inc").alias("inc"))
+
+
+def value_counts(values: DataFrame) -> DataFrame:
+    """Different counterparties (not oneself), banks, formats and currencies of every account, from distinct_values()."""
     count = lambda kind, c: F.count_if((F.col("kind") == kind) & c)
     other, out, inc = F.col("value") != F.col("account_id"), F.col("out") == 1, F.col("inc") == 1
     return values.groupBy("account_id").agg(
@@ -101,13 +107,24 @@ def distinct_counts(e: DataFrame) -> DataFrame:
     )
 
 
-def bucket_counts(e: DataFrame) -> DataFrame:
-    """Active hours and days, and the most transactions in one of them."""
-    hours = e.groupBy("account_id", F.floor(F.col("t") / MICROS_PER_HOUR).alias("hour")).agg(F.count("*").alias("n"))
+def distinct_counts(e: DataFrame) -> DataFrame:
+    return value_counts(distinct_values(e))
+
+
+def hour_counts(e: DataFrame) -> DataFrame:
+    return e.groupBy("account_id", F.floor(F.col("t") / MICROS_PER_HOUR).alias("hour")).agg(F.count("*").alias("n"))
+
+
+def active_counts(hours: DataFrame) -> DataFrame:
+    """Active hours and days, and the most transactions in one of them, from hour_counts()."""
     days = hours.groupBy("account_id", F.floor(F.col("hour") / 24).alias("day")).agg(F.sum("n").alias("n"), F.count("*").alias("hours"), F.max("n").alias("most"))
     return days.groupBy("account_id").agg(F.sum("hours").alias("active_hours"), F.count("*").alias("active_days"), F.max("most").alias("max_transactions_in_hour"), F.max("n").alias("max_transactions_in_day"))
 
 
+def bucket_counts(e: DataFrame) -> DataFrame:
+    return active_counts(hour_counts(e))
+
+
 def gaps(e: DataFrame, rapid_minutes: float = 60.0) -> DataFrame:
     """Total, number and rapid number of the positive gaps between an account's transactions, in order of time."""
     day = F.floor(F.col("t") / (24 * MICROS_PER_HOUR)).alias("day")
@@ -119,10 +136,14 @@ def gaps(e: DataFrame, rapid_minutes: float = 60.0) -> DataFrame:
     return rows.groupBy("account_id").agg(F.sum("gap").alias("gap_micros"), F.count("*").alias("gap_count"), F.count_if(F.col("gap") <= round(rapid_minutes * 60e6)).alias("rapid_gap_count"))
 
 
+def label_totals(e: DataFrame) -> DataFrame:
+    return e.groupBy("account_id").agg(F.count("*").alias("event_count"), F.coalesce(F.sum("laundering"), F.lit(0)).alias("laundering_event_count"))
+
+
 def label_counts(e: DataFrame) -> DataFrame:
     """What labels say of accounts; kept apart from features."""
-    n, hits = F.count("*"), F.coalesce(F.sum("laundering"), F.lit(0))
-    return e.groupBy("account_id").agg(n.alias("event_count"), hits.alias("laundering_event_count"), (hits / n).alias("laundering_event_rate"), (hits > 0).alias("has_laundering_label"))
+    hits = F.col("laundering_event_count")
+    return label_totals(e).select("account_id", "event_count", hits, (hits / F.col("event_count")).alias("laundering_event_rate"), (hits > 0).alias("has_laundering_label"))
 
 
 def _share(x: Column, n: Column) -> Column:
@@ -132,10 +153,17 @@ def _share(x: Column, n: Column) -> Column:
 def features(tx: DataFrame, accounts: DataFrame | None = None, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     """The feature table; ``accounts`` (account_number, bank_name, bank_id, entity_id, entity_name) fills the last columns."""
     e = account_events(tx, config)
-    f = counts_and_amounts(e, "none" if config.median == "streaming" else config.median)
-    if config.median == "streaming":
-        f = f.drop("median_outgoing_amount", "median_incoming_amount").join(streaming_medians(e), "account_id", "left")
-    f = f.join(distinct_counts(e), "account_id", "left").join(bucket_counts(e), "account_id", "left").join(gaps(e, config.rapid_gap_minutes), "account_id", "left")
+    apart = {"streaming": streaming_medians, "sketch": sketched_medians}.get(config.median)
+    f = counts_and_amounts(e, "none" if apart else config.median)
+    if apart:
+        f = f.drop("median_outgoing_amount", "median_incoming_amount").join(apart(e), "account_id", "left")
+    f = f.join(gaps(e, config.rapid_gap_minutes), "account_id", "left")
+    return made_features(f, distinct_values(e), hour_counts(e), accounts)
+
+
+def made_features(f: DataFrame, values: DataFrame, hours: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """The feature table from an account's counts, amounts and gaps, distinct_values() and hour_counts()."""
+    f = f.join(value_counts(values), "account_id", "left").join(active_counts(hours), "account_id", "left")
     names = ("bank_name", "bank_id", "entity_id", "entity_name")
     if accounts is None:
         f = f.select("*", *(F.lit(None).cast("string").alias(c) for c in names))
@@ -146,7 +174,7 @@ def features(tx: DataFrame, accounts: DataFrame | None = None, config: FeatureCo
         "mean_outgoing_amount": _share(c("total_outgoing_amount"), c("outgoing_count")), "mean_incoming_amount": _share(c("total_incoming_amount"), c("incoming_count")),
         "fan_out_ratio": _share(c("unique_outgoing_counterparties"), c("outgoing_count")), "fan_in_ratio": _share(c("unique_incoming_counterparties"), c("incoming_count")),
         "average_transactions_per_active_day": _share(c("transaction_count"), c("active_days")), "transactions_per_active_hour": _share(c("transaction_count"), c("active_hours")),
-        "mean_time_between_transactions_minutes": F.coalesce(c("gap_micros") / c("gap_count") / 60e6, F.lit(float("nan"))),
+        "mean_time_between_transactions_minutes": F.when(c("gap_count") > 0, c("gap_micros") / c("gap_count") / 60e6).otherwise(F.lit(float("nan"))),
         "rapid_gap_ratio": F.coalesce(c("rapid_gap_count"), F.lit(0)) / F.greatest(c("transaction_count") - 1, F.lit(1)),
     }
     whole = {n for n in FEATURES if n.startswith("unique_") or n.endswith(("_count", "_hours", "_days", "_in_hour", "_in_day"))} - set(made)

@@ -74,6 +74,38 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], EVIDENCE)
 
 
+#: A JSON text's strings (escapes and all), marks, and what lies between: numbers, true, false and null.
+_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^{}\[\],:"\s]+'
+
+
+def stripped_json(text: Column, keys: Sequence[str] = LABEL_COLUMNS) -> Column:
+    """JSON without the members of these names, at any depth and whatever the schema: keys sorted, without blanks; null for what is no JSON.
+
+    The text's tokens are folded from left to right.  A member to leave out is passed over to the comma or bracket that ends it;
+    commas are set before what follows them, so none is left behind.
+    """
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(text)), F.lit(_TOKEN), F.lit(0))
+    pairs = F.arrays_zip(tokens.alias("t"), F.slice(tokens, 2, F.size(tokens)).alias("next"))  # a string before a colon is a name
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("depth"), F.lit(False).alias("comma"))
+    opens, closes = ("{", "["), ("}", "]")
+
+    def step(s: Column, x: Column) -> Column:
+        t = x["t"]
+        named = (x["next"] == ":") & t.isin(*(json.dumps(k) for k in keys))
+        ends = (s["depth"] == 0) & (t.isin(*closes) | (t == ","))
+        # while members are passed over, depth counts the brackets opened inside them
+        depth = F.when(t.isin(*opens), s["depth"] + 1).when(t.isin(*closes), s["depth"] - 1).otherwise(s["depth"])
+        skipping = F.struct(s["out"].alias("out"), F.lit(True).alias("skip"), depth.alias("depth"), s["comma"].alias("comma"))
+        over = F.struct(s["out"].alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("depth"), s["comma"].alias("comma"))
+        closed = F.struct(F.concat(s["out"], F.array(t)).alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("depth"), F.lit(False).alias("comma"))
+        comma = F.struct(s["out"].alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("depth"), F.lit(True).alias("comma"))
+        kept = F.struct(F.concat(s["out"], F.when(s["comma"], F.array(F.lit(","), t)).otherwise(F.array(t))).alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("depth"), F.lit(False).alias("comma"))
+        passing = F.when(~ends, skipping).when(t == ",", over).otherwise(closed)
+        return F.when(s["skip"], passing).when(named, skipping).when(t == ",", comma).when(t.isin(*closes), closed).otherwise(kept)
+
+    return F.aggregate(pairs, start, step, lambda s: F.array_join(s["out"], ""))
+
+
 def without_label_keys(value: Any) -> Any:
     """Nested dicts and lists without the keys that carry labels."""
     if isinstance(value, dict):

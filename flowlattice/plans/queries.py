@@ -440,13 +440,18 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return a.select("primary_account_id", "risk_score", "risk_level", "evidence_count", F.array_join("typologies_detected", "|").alias("typologies"), one_place(F.col("risk_score")).alias("score_text"))
 
 
+def _more() -> None:
+    """These modules register their queries when they are imported."""
+    import flowlattice.plans.pattern_queries
+    import flowlattice.plans.source_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
-    import flowlattice.plans.source_queries  # noqa: F401  (registers its queries)
+    _more()
 
     return {k: f for k, (f, _) in _registry.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    import flowlattice.plans.source_queries  # noqa: F401
-
+    _more()
     return {k: sql for k, (_, sql) in _registry.items()}

@@ -9,6 +9,8 @@ from flowlattice.sources.transactions import RAW_COLUMNS, in_order
 
 #: How a block's lines start.
 BEGIN, END = "BEGIN LAUNDERING ATTEMPT", "END LAUNDERING ATTEMPT"
+#: Bits of a line's order below the number of its split (see transactions.in_order).
+SPLIT = 33
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -20,14 +22,17 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 def attempts(lines: DataFrame) -> DataFrame:
     """One row a finished attempt: attempt_id, typology, description, transactions (array of structs).
 
-    ``lines`` has value, line (the order) and file.  A BEGIN inside an attempt discards what is open but uses up a
+    ``lines`` has value, line (the order; its bits from ``SPLIT`` on number the file's splits) and file.  Attempts are numbered
+    within splits first and then over splits, so that many tasks read a large file, wherever its splits begin.  A BEGIN inside an attempt discards what is open but uses up a
     number; rows outside an attempt are passed over; a BEGIN line without a typology is an error.
     """
     lines = lines.withColumn("value", F.trim("value"))
     begin, end = F.upper("value").startswith(BEGIN), F.upper("value").startswith(END)
-    order = Window.partitionBy("file").orderBy("line")
-    lines = lines.withColumn("begin", begin).withColumn("end", end)
-    lines = lines.withColumn("n", F.sum(F.col("begin").cast("int")).over(order))
+    lines = lines.withColumn("begin", begin).withColumn("end", end).withColumn("split", F.shiftright(F.col("line").cast("long"), SPLIT))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "split").agg(F.sum(F.col("begin").cast("long")).alias("n")).select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.sum(F.col("begin").cast("long")).over(Window.partitionBy("file", "split").orderBy("line"))
+    lines = lines.withColumn("inside", inside).join(splits, ["file", "split"]).withColumn("n", F.col("inside") + F.col("before"))
     own = Window.partitionBy("file", "n").orderBy("line")
     lines = lines.where("n > 0").withColumn("ends", F.sum(F.col("end").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)))
     lines = lines.where(F.coalesce("ends", F.lit(0)) == 0)
