@@ -5,8 +5,10 @@ Files are written from the tables first, in the layouts that users bring, to the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +16,15 @@ from flowlattice.functions.materialise import shared_dir
 from flowlattice.operators import features as fe
 from flowlattice.operators.fan import fan_out
 from flowlattice.operators.velocity import velocity
-from flowlattice.plans.evidence import from_dicts
+from flowlattice.plans.evidence import stripped_json
 from flowlattice.plans.investigate import investigation
 from flowlattice.plans.orchestrator import Orchestrator
 from flowlattice.plans.parser import parse
 from flowlattice.plans.planner import plan
-from flowlattice.plans.queries import ACCOUNTS, ASSESS, FEATURES, TX, _fan_sql, _features, _PATTERN, _query, _r, _scored, _tx
+from flowlattice.plans.queries import ACCOUNTS, ASSESS, FEATURES, TX, _cycle_sql, _fan_sql, _features, _GS, _PATTERN, _query, _r, _scored, _sg_sql, _tx
 from flowlattice.plans.query_model import Context
 from flowlattice.plans.tools import default_registry
-from flowlattice.plans.views import breakdown_rows, evidence_rows, metric
+from flowlattice.plans.views import breakdown_rows, evidence_rows, shown
 from flowlattice.sources import demo
 from flowlattice.sources import transactions as src
 from flowlattice.sources.annotations import BEGIN, END, read_annotations, typology_counts
@@ -132,13 +134,13 @@ def velocity_of_gaps(spark: SparkSession, d: str) -> DataFrame:
     return e.select("primary_account_id", "transaction_count", "total_amount", _r("evidence_strength"), "severity")
 
 
-@_query("""SELECT n_name AS account, '{"kept":{"list":[{"x":1}]}}' AS metadata, 'FAN-OUT' AS typology FROM nation""")
+@_query("""SELECT event_id AS ord, '{"event":{"list":[{"kind":"' || event_type || '"},[],null,' || user_id % 7 || ']},"user":' || user_id || '}' AS metadata FROM events""")
 def label_keys_stripped(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence from dicts: keys that carry labels go, at any depth."""
-    names = [r.n_name for r in spark.read.parquet(f"{d}/nation.parquet").select("n_name").collect()]  # 25 rows
-    items = [{"detector_name": "x", "typology": " fan out ", "primary_account_id": n, "metadata": {"is_laundering": 1, "kept": {"label": 2, "list": [{"x": 1, "expected_typology": "y"}]}}} for n in names]
-    e = from_dicts(spark, items)
-    return e.select(F.col("primary_account_id").alias("account"), F.regexp_replace("metadata", " ", "").alias("metadata"), "typology")
+    """JSON of every event, without the keys that carry labels, at any depth."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    text = said('{"is_laundering":1,"user":', F.col("user_id"), ',"event":{"label":["x"],"list":[{"kind":"', F.col("event_type"), '","expected_typology":{"deep":[1,{"label":2}]}},[],null,', F.col("user_id") % 7, '],"Is Laundering":null}}')
+    return e.select(F.col("event_id").alias("ord"), stripped_json(text).alias("metadata"))
 
 
 # ---- stores, demonstration, views
@@ -161,9 +163,11 @@ def feature_store_labels(spark: SparkSession, d: str) -> DataFrame:
     return found.labels.select("account_id", "event_count", "laundering_event_count")
 
 
-@_query("SELECT * FROM (VALUES ('DEMO-ACCOUNT-1', 'CYCLE|FAN-IN|FAN-OUT|GATHER-SCATTER|SCATTER-GATHER|VELOCITY', 6::BIGINT, 227750.0::DOUBLE, TIMESTAMP '2024-03-01 09:00:00', TIMESTAMP '2024-03-02 08:00:00', 1::BIGINT)) AS t(primary_account_id, typologies, evidence_count, total_amount, first_seen, last_seen, reports)")
+@_query("SELECT c_custkey::VARCHAR AS primary_account_id, 'CYCLE|FAN-IN|FAN-OUT|GATHER-SCATTER|SCATTER-GATHER|VELOCITY' AS typologies, 6::BIGINT AS evidence_count, 227750.0::DOUBLE AS total_amount, TIMESTAMP '2024-03-01 09:00:00' AS first_seen, TIMESTAMP '2024-03-02 08:00:00' AS last_seen, 1::BIGINT AS reports FROM customer")
 def demo_bundle(spark: SparkSession, d: str) -> DataFrame:
-    b = demo.demo_bundle(spark)
+    """The demonstration's evidence, assessed and reported for every customer."""
+    accounts = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("primary_account_id"))
+    b = demo.demo_bundle(spark, accounts=accounts)
     a = b["assessments"].select("primary_account_id", F.array_join(F.array_sort("typologies_detected"), "|").alias("typologies"), "evidence_count", _r("total_suspicious_amount").alias("total_amount"), F.col("assessment_start_time").alias("first_seen"), F.col("assessment_end_time").alias("last_seen"))
     return a.join(b["reports"].groupBy("primary_account_id").agg(F.count("*").alias("reports")), "primary_account_id")
 
@@ -179,12 +183,11 @@ def view_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence_rows(_scored(spark, d)).select("primary_account_id", "detector", "typology", "severity", "evidence_strength", "transactions", _r("amount"))
 
 
-@_query("SELECT n_nationkey, n_nationkey::VARCHAR AS whole, CASE WHEN n_nationkey % 5 = 0 THEN 'N/A' ELSE printf('%.1f', n_nationkey / 4) END AS part FROM nation")
+@_query("SELECT c_custkey, c_custkey::VARCHAR AS whole, CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE printf('%.1f', c_custkey / 3) END AS part FROM customer")
 def view_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers as a dashboard shows them: a small table's, on the driver."""
-    keys = [r.n_nationkey for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").collect()]  # 25 rows
-    kind = spark.read.parquet(f"{d}/nation.parquet").schema["n_nationkey"].dataType.simpleString()
-    return spark.createDataFrame([(k, metric(k), metric(None if k % 5 == 0 else k / 4)) for k in keys], f"n_nationkey {kind}, whole string, part string")
+    """Numbers as a dashboard shows them."""
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{d}/customer.parquet").select(k, shown(k).alias("whole"), shown(F.when(k % 5 != 0, k / 3), fraction=True).alias("part"))
 
 
 # ---- investigations and tools
@@ -223,55 +226,86 @@ _TOOLS = (
 _REAL = ("cycle_detector", "evidence_aggregator", "fan_in_detector", "fan_out_detector", "feature_engineering", "gather_scatter_detector", "investigation_report", "risk_scorer", "scatter_gather_detector", "velocity_detector")
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    """SQL for a table of text and whole numbers."""
-    said = lambda x: "NULL" if x is None else f"{x}::BIGINT" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS t({names})"
+#: Detectors that look at transactions, and the SQL of what they find with their usual thresholds.
+_FINDS = {
+    "fan_out_detector": _fan_sql("sender_account", "receiver_account", "amount_paid") + " SELECT * FROM e", "fan_in_detector": _fan_sql("receiver_account", "sender_account", "amount_received") + " SELECT * FROM e",
+    "gather_scatter_detector": _GS, "scatter_gather_detector": _sg_sql(24), "cycle_detector": _cycle_sql(3, 6),
+}
 
 
-@_query(_values([(n, "SUCCESS" if n in _REAL else "NOT_IMPLEMENTED") for n in _TOOLS], "tool, status"))
+@_query(" UNION ALL ".join(f"SELECT '{n}' AS tool, '{'SUCCESS' if n in _REAL else 'NOT_IMPLEMENTED'}' AS status, {f'(SELECT count(*) FROM ({_FINDS[n]}))' if n in _FINDS else 'NULL::BIGINT'} AS found" for n in _TOOLS))
 def tool_registry(spark: SparkSession, d: str) -> DataFrame:
-    """What every tool says of itself; those that do nothing yet are asked."""
-    registry = default_registry()
-    rows = [(t.name, "SUCCESS" if t.implemented else registry.get(t.name).execute(Context()).status.value) for t in registry.list()]
-    return spark.createDataFrame(rows, "tool string, status string")
+    """What every tool says of itself, and how much evidence the detectors find in all transactions; those that do nothing yet are asked."""
+    registry, context, out = default_registry(), Context(transactions=_tx(spark, d)), None
+    for t in registry.list():
+        status = "SUCCESS" if t.implemented else registry.get(t.name).execute(context).status.value
+        told = [F.lit(t.name).alias("tool"), F.lit(status).alias("status")]
+        if t.name in _FINDS:
+            own = registry.get(t.name).execute(context, {}).data["evidence"].agg(F.count("*").alias("found")).select(*told, "found")
+        else:
+            own = spark.range(1).select(*told, F.lit(None).cast("long").alias("found"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 # ---- questions
 
 TODAY = date(2024, 6, 30)
-#: question; intent, pattern, output, customer, days, type, country, amount limit, count limit, number of steps, status of a run
-_ASKED = [
-    ("Show accounts sending money to many different accounts", "fan_out_detection", "fan_out", "pattern_summary", None, None, None, None, None, None, 1, "SUCCESS"),
-    ("Find fan-in over the last 30 days", "fan_in_detection", "fan_in", "pattern_summary", None, 30, None, None, None, None, 1, "SUCCESS"),
-    ("Detect circular transfers", "cycle_detection", "cycle", "pattern_summary", None, None, "transfer", None, None, None, 1, "SUCCESS"),
-    ("any gather-scatter?", "gather_scatter_detection", "gather_scatter", "pattern_summary", None, None, None, None, None, None, 1, "SUCCESS"),
-    ("any scatter gather?", "scatter_gather_detection", "scatter_gather", "pattern_summary", None, None, None, None, None, None, 1, "SUCCESS"),
-    ("Why is CUST_A1 high risk", "risk_explanation", None, "explanation", "CUST_A1", None, None, None, None, None, 3, "NOT_IMPLEMENTED"),
-    ("Investigate customer CUST_77 in US", "customer_investigation", None, "case_file", "CUST_77", None, None, "US", None, None, 6, "NOT_IMPLEMENTED"),
-    ("Find structuring under $10,000", "structuring_detection", "structuring", "pattern_summary", None, None, None, None, "< 10000", None, 5, "NOT_IMPLEMENTED"),
-    ("customers with more than 20 transactions", "threshold_analysis", None, "customer_list", None, None, None, None, ">= 20", "> 20", 3, "NOT_IMPLEMENTED"),
-    ("Run EDA", "eda_request", None, "eda_summary", None, None, None, None, None, None, 2, "NOT_IMPLEMENTED"),
-    ("Show high-risk customers", "high_risk_search", None, "customer_list", None, None, None, None, None, None, 3, "NOT_IMPLEMENTED"),
-    ("Analyse this dataset", "broad_analysis", None, "investigation_summary", None, None, None, None, None, None, 10, "NOT_IMPLEMENTED"),
-]
+#: Questions about a customer k, in turn; {k}: the key, {n}: k % 90 + 1, {amount}: 1,000 to 999,000.  Then SQL: intent, pattern, output, customer, days, type, country, amount limit, count limit, number of steps.
+_ASKED = (
+    ("Show accounts sending money to many different accounts", "'fan_out_detection'", "'fan_out'", "'pattern_summary'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", 1),
+    ("Find fan-in over the last {n} days", "'fan_in_detection'", "'fan_in'", "'pattern_summary'", "NULL", "n", "NULL", "NULL", "NULL", "NULL", 1),
+    ("Detect circular transfers", "'cycle_detection'", "'cycle'", "'pattern_summary'", "NULL", "NULL", "'transfer'", "NULL", "NULL", "NULL", 1),
+    ("any gather-scatter?", "'gather_scatter_detection'", "'gather_scatter'", "'pattern_summary'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", 1),
+    ("any scatter gather?", "'scatter_gather_detection'", "'scatter_gather'", "'pattern_summary'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", 1),
+    ("Why is CUST_A{k} high risk", "'risk_explanation'", "NULL", "'explanation'", "'CUST_A' || k", "NULL", "NULL", "NULL", "NULL", "NULL", 3),
+    ("Investigate customer CUST_{k} in US", "'customer_investigation'", "NULL", "'case_file'", "'CUST_' || k", "NULL", "NULL", "'US'", "NULL", "NULL", 6),
+    ("Find structuring under ${amount}", "'structuring_detection'", "'structuring'", "'pattern_summary'", "NULL", "NULL", "NULL", "NULL", "'< ' || (k % 999 + 1) * 1000", "NULL", 5),
+    ("Run EDA", "'eda_request'", "NULL", "'eda_summary'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", 2),
+    ("Show high-risk customers", "'high_risk_search'", "NULL", "'customer_list'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", 3),
+    ("Analyse this dataset", "'broad_analysis'", "NULL", "'investigation_summary'", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", 10),
+)
+_READ = "intent, pattern, output, customer, days, kind, country, amount, count"
 
 
 def _limit(t) -> str | None:
     return t and f"{t.operator} {t.value:.0f}"
 
 
-@_query(_values([r[:-1] for r in _ASKED], "question, intent, pattern, output, customer, days, kind, country, amount, count, steps"))
+def _case(i: int, kind: str) -> str:
+    return f"(CASE k % {len(_ASKED)} " + " ".join(f"WHEN {j} THEN {q[i]}" for j, q in enumerate(_ASKED)) + f" END)::{kind}"
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for k, question in zip(b["k"], b["question"], strict=True):
+            r = parse(question, TODAY)
+            out.append((k, r.intent.value, r.pattern and r.pattern.value, r.requested_output.value, r.customer_id, r.date_range and r.date_range.relative_days, r.transaction_type, r.country, _limit(r.amount_threshold), _limit(r.transaction_count_threshold), len(plan(r).steps)))
+        yield pd.DataFrame(out, columns=["k", *_READ.split(", "), "steps"]).astype({"days": "Int64"})
+
+
+@_query("SELECT k, " + ", ".join(f"{_case(i + 1, 'BIGINT' if c in ('days', 'steps') else 'VARCHAR')} AS {c}" for i, c in enumerate([*_READ.split(", "), "steps"])) + " FROM (SELECT c_custkey AS k, c_custkey % 90 + 1 AS n FROM customer)")
 def questions_understood(spark: SparkSession, d: str) -> DataFrame:
-    rows = []
-    for question, *_ in _ASKED:
-        r = parse(question, TODAY)
-        rows.append((question, r.intent.value, r.pattern and r.pattern.value, r.requested_output.value, r.customer_id, r.date_range and r.date_range.relative_days, r.transaction_type, r.country, _limit(r.amount_threshold), _limit(r.transaction_count_threshold), len(plan(r).steps)))
-    return spark.createDataFrame(rows, "question string, intent string, pattern string, output string, customer string, days long, kind string, country string, amount string, count string, steps long")
+    """A question about every customer, read in batches."""
+    k = F.col("c_custkey")
+    said = F.element_at(F.array(*(F.lit(q[0]) for q in _ASKED)), (k % len(_ASKED) + 1).cast("int"))
+    for name, value in (("k", k.cast("string")), ("n", (k % 90 + 1).cast("string")), ("amount", F.concat((k % 999 + 1).cast("string"), F.lit(",000")))):
+        said = F.replace(said, F.lit("{" + name + "}"), value)
+    kinds = ", ".join(f"{c} {'long' if c == 'days' else 'string'}" for c in _READ.split(", "))
+    kind = spark.read.parquet(f"{d}/customer.parquet").schema["c_custkey"].dataType.simpleString()
+    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("k"), said.alias("question")).mapInPandas(_read, f"k {kind}, {kinds}, steps long")
 
 
-@_query(_values([(r[0], r[-1]) for r in _ASKED], "question, status"))
+@_query(" UNION ALL ".join(f"SELECT '{q}' AS question, account AS primary_account_id, n AS transaction_count FROM ({_fan_sql(*c)} SELECT * FROM e)" for q, c in (("Show accounts sending money to many different accounts", ("sender_account", "receiver_account", "amount_paid")), ("Find fan-in", ("receiver_account", "sender_account", "amount_received")))))
 def questions_answered(spark: SparkSession, d: str) -> DataFrame:
-    """The status of each question's run; DataFrames stay lazy, so this costs no detector."""
-    rows = [(q, Orchestrator().run(q, Context(transactions=_tx(spark, d)), today=TODAY).status.value) for q, *_ in _ASKED]
-    return spark.createDataFrame(rows, "question string, status string")
+    """What questions find when their plans run over all transactions."""
+    out = None
+    for question in ("Show accounts sending money to many different accounts", "Find fan-in"):
+        context = Context(transactions=_tx(spark, d))
+        run = Orchestrator().run(question, context, today=TODAY)
+        if run.status.value != "SUCCESS":
+            raise ValueError(f"{question}: {run.status.value}")
+        own = context.latest("evidence").select(F.lit(question).alias("question"), "primary_account_id", "transaction_count")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlattice.functions.columns import time_range
@@ -50,6 +50,11 @@ def metric(value: Any) -> str:
     return "N/A" if value is None else f"{value:.1f}" if isinstance(value, float) else str(value)
 
 
+def shown(x: Column, fraction: bool = False) -> Column:
+    """metric() of a column: whole numbers as they are, fractions with one place, N/A for nothing."""
+    return F.when(x.isNull(), "N/A").otherwise(F.format_string("%.1f", x.cast("double")) if fraction else x.cast("string"))
+
+
 def understood(query: str) -> dict[str, Any]:
     """How a question is read and what it would run, without data."""
     r = parse(query)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from flowlattice.plans.assessment import aggregate, scored
 from flowlattice.plans.evidence import ASSESSMENT_TYPE, EVIDENCE
@@ -24,7 +25,8 @@ ROWS = (
 )
 
 
-def demo_evidence(spark: SparkSession, typologies: Sequence[str] | None = None) -> DataFrame:
+def demo_evidence(spark: SparkSession, typologies: Sequence[str] | None = None, accounts: DataFrame | None = None) -> DataFrame:
+    """Of ACCOUNT, or of every account of ``accounts`` (primary_account_id)."""
     rows = []
     for kind, detector, parties, n, amount, strength, severity, hours in ROWS:
         if typologies is not None and kind not in typologies:
@@ -32,11 +34,16 @@ def demo_evidence(spark: SparkSession, typologies: Sequence[str] | None = None)
         start = None if hours is None else START + timedelta(hours=hours)
         refs = [] if hours is None else [f"{kind}-{i}" for i in range(n)]
         rows.append((detector, kind, ACCOUNT, [f"DEMO-PARTY-{i}" for i in range(parties)] or [ACCOUNT], [], start, start and start + timedelta(hours=3), n, amount, strength, severity, [f"A made-up example of {kind}."], {"example": 1.0}, refs, None, ASSESSMENT_TYPE))
-    return spark.createDataFrame(rows, EVIDENCE)
+    own = spark.createDataFrame(rows, EVIDENCE)
+    if accounts is None:
+        return own
+    nth = own.drop("primary_account_id").withColumn("nth", F.row_number().over(Window.orderBy("detector_name")))  # a row a typology
+    each = accounts.select("primary_account_id", F.explode(F.sequence(F.lit(1), F.lit(len(rows)))).alias("nth"))
+    return each.join(F.broadcast(nth), "nth").select(*EVIDENCE.names)
 
 
-def demo_bundle(spark: SparkSession, typologies: Sequence[str] | None = None, generated_at: datetime | None = None) -> dict[str, DataFrame]:
+def demo_bundle(spark: SparkSession, typologies: Sequence[str] | None = None, generated_at: datetime | None = None, accounts: DataFrame | None = None) -> dict[str, DataFrame]:
     """evidence, assessments and reports of the demonstration."""
-    e = demo_evidence(spark, typologies)
+    e = demo_evidence(spark, typologies, accounts)
     a = scored(aggregate(e))
     return {"evidence": e, "assessments": a, "reports": reports(a, generated_at or START)}
