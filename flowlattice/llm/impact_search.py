@@ -41,7 +41,7 @@ SCALE = 256
 #: Candidates of a block and queries of a block, about.
 BLOCK_ROWS, QUERY_ROWS = 4096, 4096
 #: Impacts that share a segment (a power of two), segments of a round, and rows that are few enough to rescore.
-LEVEL, ROUND, FEW = 16, 96, 64
+LEVEL, ROUND, FEW = 16, 256, 2048
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
