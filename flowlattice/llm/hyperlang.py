@@ -7,8 +7,8 @@ A text gets the language whose prototype has the largest cosine with its own vec
 
 Text is lower-cased; whatever is no letter parts words and becomes one blank.
 
-The prototypes are fitted on a bounded sample of each language's rows; languages are few, so the
-driver holds a vector each.
+The prototypes are fitted on a bounded sample of each language's rows.  Tasks' sums are added up by language and
+dimension in Spark; the driver gets one vector a language, and more than ``LANGUAGES`` of them are an error.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.  Nothing to learn
 from: every text is ``und``.  A null doc_id folds as the empty text.  Repeated rows are
@@ -30,8 +30,8 @@ from flowlattice.llm.common import BROADCAST_ROWS, held_out, slices, written
 DIM = 2048
 #: Documents of each language to fit its prototype on, about; chosen by a hash of doc_id and text.
 SAMPLE = 1500
-#: The sample is dealt to so many tasks, each of which returns one vector a language.
-FIT_TASKS = 12
+#: The sample is dealt to so many tasks, each of which returns one vector a language; and languages at most.
+FIT_TASKS, LANGUAGES = 12, 2000
 #: Documents whose counts are multiplied at once, and their characters at most (one document may exceed them).
 CHUNK, CHUNK_CHARS = 256, 1_500_000
 SEED = 20_011
@@ -137,14 +137,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
                 got = unit(enc.vectors(texts[lo:hi])).astype(np.float64)
                 for lang, v in zip(langs[lo:hi], got, strict=True):
                     sums[lang] = sums.get(lang, 0) + v
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
-
-    parts = rows.select("lang", "text").repartition(FIT_TASKS).mapInArrow(bundle, "lang string, v array<double>").collect()
-    sums: dict[str, list] = {}
-    for r in parts:
-        sums.setdefault(r.lang, []).append(np.round(r.v, 6))
-    langs = sorted(x for x, v in sums.items() if np.any(np.sum(v, axis=0)))
-    return langs, unit(np.array([np.sum(sorted(v, key=tuple) if len(v) > 1 else v, axis=0) for v in (sums[x] for x in langs)])) if langs else np.zeros((0, DIM))
+        # whole millionths, so that sums don't depend on their order
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([np.rint(v * 1e6).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))})
+
+    parts = rows.select("lang", "text").repartition(FIT_TASKS).mapInArrow(bundle, "lang string, v array<long>")
+    whole = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
+    whole = whole.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"))
+    found = [(r.lang, np.array(r.v, np.float64)) for r in whole.orderBy("lang").limit(LANGUAGES + 1).collect()]
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    found = [(lang, v) for lang, v in found if v.any()]
+    return [lang for lang, _ in found], unit(np.array([v for _, v in found])) if found else np.zeros((0, DIM))
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
