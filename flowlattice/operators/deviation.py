@@ -25,8 +25,10 @@ def daily_counts(tx: DataFrame) -> DataFrame:
     rows = prepare(tx, "behaviour").withColumn("day", F.floor(F.col("t") / DAY))
     both = F.explode(F.array_distinct(F.array("sender", "receiver"))).alias("account")
     seen = written(rows.select(both, "day", "paid").groupBy("account", "day").agg(F.count("*").alias("n"), F.sum(F.col("paid").try_cast("decimal(28,6)")).cast("double").alias("amount")), "daily")
-    range_ = seen.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    every = seen.select("account").distinct().join(F.broadcast(range_)).select("account", F.explode(F.sequence("lo", "hi")).alias("day"))  # one row: the first and the last day
+    lo, hi = seen.agg(F.min("day"), F.max("day")).first()
+    if lo is None:
+        return seen
+    every = seen.select("account").distinct().select("account", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("day"))
     return every.join(seen, ["account", "day"], "left").fillna(0, ["n", "amount"])
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlattice.functions.materialise import shared_dir
+from flowlattice.functions.materialise import shared_dir, written
 from flowlattice.operators import feature_state
 from flowlattice.operators import features as fe
+from flowlattice.operators.anomaly import anomaly_scores
 from flowlattice.operators.deviation import deviations
 from flowlattice.operators.sketched_median import RANK_ERROR
 from flowlattice.operators.smurfing import smurfing
 from flowlattice.operators.structuring import structuring
-from flowlattice.plans.queries import DAY, EV, FEATURES, HOUR, TX, _query, _r, _ref, _tx
+from flowlattice.plans.queries import DAY, EV, FEATURES, HOUR, TX, _features, _query, _r, _ref, _tx
 from flowlattice.sources import transactions as src
 from flowlattice.sources.feature_store import FeatureStore
 
@@ -116,3 +117,9 @@ def behaviour_changes(spark: SparkSession, d: str) -> DataFrame:
     told = lambda c, kind: F.get_json_object("metadata", f"$.{c}").cast(kind)
     day = F.datediff(F.to_date("start_time"), F.lit("1970-01-01").cast("date")).cast("long")
     return e.select("primary_account_id", told("direction", "string").alias("direction"), F.round(told("peak", "double"), 4).alias("peak"), day.alias("first_day"), "transaction_count", _r("total_amount"))
+
+
+@_query(None)
+def anomalies(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of random cuts are not SQL; tests walk them in plain Python."""
+    return anomaly_scores(written(_features(spark, d), "features"))

@@ -26,7 +26,7 @@ from flowlattice.sources import transactions as src
 from flowlattice.sources.annotations import attempts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_registry: dict[str, tuple[Query, str]] = {}
+_registry: dict[str, tuple[Query, str | None]] = {}
 
 TX = """tx AS (SELECT event_id AS ord, ts AS timestamp, CAST(user_id % 10 AS VARCHAR) AS from_bank, CAST(user_id AS VARCHAR) AS sender_account,
   CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS to_bank, json_extract_string(props, '$.k') AS receiver_account,
@@ -42,7 +42,7 @@ ev AS (SELECT sender_account AS account_id, receiver_account AS party, to_bank A
   UNION ALL SELECT receiver_account, sender_account, from_bank, t, ord, payment_format, payment_currency, receiving_currency, from_bank <> to_bank, is_laundering, 0, 1, 0, amount_received, 0, 0, 0, 0 FROM tx WHERE sender_account <> receiver_account)"""
 
 
-def _query(sql: str) -> Callable[[Query], Query]:
+def _query(sql: str | None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         _registry[f.__name__] = (f, sql)
         return f
@@ -454,4 +454,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _more()
-    return {k: sql for k, (_, sql) in _registry.items()}
+    return {k: sql for k, (_, sql) in _registry.items() if sql}

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlattice.functions.materialise import shared_dir
+from flowlattice.operators import anomaly
 from flowlattice.operators import feature_state as fs
 from flowlattice.operators import features as fe
 from flowlattice.operators.deviation import cusum, deviations
@@ -201,6 +202,29 @@ def test_behaviour_changes(spark, tx):
     assert [(round(float(x.up), 4), round(float(x.down), 4)) for x in cusum(rows, 0.5).orderBy("day").collect()] == want
 
 
+def test_anomalies_rank_planted_outliers_first(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(f"A{i:03d}", *(float(r.randrange(20, 40)) for _ in anomaly.NUMERIC)) for i in range(400)]
+    for i, shift in ((17, 300.0), (230, -250.0), (399, 1e6)):
+        rows[i] = (rows[i][0], *(v + shift * (k % 3 == 0) for k, v in enumerate(rows[i][1:])))
+    f = spark.createDataFrame(rows, ["account_id", *anomaly.NUMERIC])
+    got = {x.account_id: x.anomaly_score for x in anomaly.anomaly_scores(f).collect()}
+    assert sorted(sorted(got, key=got.get)[-3:]) == ["A017", "A230", "A399"] and 0.3 < statistics.median(got.values()) < 0.55
+    trees = anomaly.forest(f)
+    assert len(trees) == anomaly.TREES and trees == anomaly.forest(f.repartition(7))
+    for name, *x in rows[::9]:
+        paths = []
+        for t in trees:
+            node = 0
+            while t["f"][node] >= 0:
+                node = t["left"][node] + (x[t["f"][node]] > t["cut"][node])
+            paths.append(t["path"][node])
+        assert abs(got[name] - 2 ** (-statistics.fmean(paths) / anomaly.usual_path(256))) < 1e-8
+    assert anomaly.anomaly_scores(f.where("false")).count() == 0
+    same = spark.createDataFrame([(f"B{i}", *rows[0][1:]) for i in range(5)], ["account_id", *anomaly.NUMERIC]).withColumn("total_outgoing_amount", F.lit(None).cast("double"))
+    assert len({x.anomaly_score for x in anomaly.anomaly_scores(same).collect()}) == 1
+
+
 # ---- annotation files
 
 
