@@ -181,7 +181,7 @@ def near(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: near words of ``words`` (w, n), each pair once."""
 
     def run(t: pa.Table) -> pa.Table:
-        own = dict(zip(t["w"].to_pylist(), t["n"].to_pylist(), strict=True))
+        own = dict(zip(t["w"].to_pylist(), t["n"].to_pylist(), strict=True))  # a word may come by several keys
         names = sorted(own)
         pairs = [(names[i], names[j]) for i, j in near_in(names)]
         a, b = ([p[k] for p in pairs] for k in (0, 1))
@@ -189,7 +189,8 @@ def near(words: DataFrame) -> DataFrame:
 
     rows = routed(words)
     shards = -(-rows.count() // SHARD) + 1
-    own = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "w", "n").distinct()
+    # as many tasks as shards: they are small in bytes and take their time
+    own = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "w", "n").repartition(shards, "shard")
     return own.groupBy("shard").applyInArrow(run, "a string, n_a long, b string, n_b long").distinct()
 
 
