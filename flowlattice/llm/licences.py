@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -42,7 +44,20 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
         LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
         THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
 
-#: Licences in full (MIT-grant, BSD, ISC) and notices that name one, in template markup, by label.
+#: The third clause of BSD-3-Clause, the fourth of BSD-4-Clause.
+_NAMES = """<<beginOptional>>{number}<<endOptional>> Neither the name of
+        <<var;name="owner";original="the copyright holder";match=".{{1,200}}">> nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission."""
+
+#: The notice that the GNU GPL asks for, of either version.
+_GPL = """This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version {version} of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+        more details. You should have received a copy of the GNU General Public License along with this program"""
+
+#: Licences in full (MIT-grant, BSD, ISC, Unlicense, Zlib), the notices that licences ask for in full (Apache-2.0-notice, GPL
+#: or-later, MPL-2.0), and single sentences that name a licence, in template markup, by label.
 TEMPLATES = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License");
         you may not use this file except in compliance with the License<<endOptional>>""",
@@ -77,19 +92,58 @@ TEMPLATES = {
         WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
         DEALINGS IN THE SOFTWARE""",
     "BSD-2-Clause": _BSD.format(third=""),
-    "BSD-3-Clause": _BSD.format(
-        third="""<<beginOptional>>3.<<endOptional>> Neither the name of
-        <<var;name="owner";original="the copyright holder";match=".{1,200}">> nor the names of its contributors may be used to endorse or
-        promote products derived from this software without specific prior written permission."""
+    "BSD-3-Clause": _BSD.format(third=_NAMES.format(number="3.")),
+    "BSD-4-Clause": _BSD.format(
+        third="""<<beginOptional>>3.<<endOptional>> All advertising materials mentioning features or use of this software must display the
+        following acknowledgement: This product includes software developed by <<var;name="owner";original="the organization";match=".{1,200}">>. """
+        + _NAMES.format(number="4.")
     ),
+    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at
+        <<beginOptional>>http://<<endOptional>><<beginOptional>>https://<<endOptional>> www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+    "GPL-2.0-or-later": _GPL.format(version="2"),
+    "GPL-3.0-or-later": _GPL.format(version="3"),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+        and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+        to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+        present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+        TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If
+        you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution""",
 }
 
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 _MARK = re.compile(r"<<(beginOptional|endOptional|var)((?:(?!>>).)*)>>", re.S)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
+class Words(list):
+    """A text's words; knows how many characters stand before each, blanks aside."""
+
+    @cached_property
+    def before(self) -> list[int]:
+        return [0, *accumulate(len(w.decode("utf-8", "surrogatepass")) for w in self)]
+
+    def characters(self, since: int, to: int) -> int:
+        """Of words parted by single blanks."""
+        return self.before[to] - self.before[since] + max(to - since - 1, 0)
+
+
+def words_of(text: str | None) -> Words:
+    return Words((text or "").encode("utf-8", "surrogatepass").translate(_WORD).split())
 
 
 def _rule(fields: str) -> str:
@@ -130,10 +184,11 @@ class Region:
             self.least = 0 if found[1] == "*" else int(found[2] or 1)
             self.most = int(found[3]) if found[3] else float("inf")
 
-    def look(self, words: list[bytes], since: int, to: int) -> tuple[bool, bool]:
-        text = b" ".join(words[since:to]).decode("utf-8", "surrogatepass")
+    def look(self, words: Words, since: int, to: int) -> tuple[bool, bool]:
         if self.rule is None:
-            return self.least <= len(text) <= self.most, len(text) < self.most
+            size = words.characters(since, to)
+            return self.least <= size <= self.most, size < self.most
+        text = b" ".join(words[since:to]).decode("utf-8", "surrogatepass")
         m = self.rule.fullmatch(text, partial=True)
         return m is not None and not m.partial, m is not None
 
@@ -191,11 +246,12 @@ class Automaton:
 
     def first(self) -> set[bytes | None]:
         """Words that a match can start with; None: any."""
-        threads = self._closed({(0, -1)}, [], 0)
+        threads = self._closed({(0, -1)}, Words(), 0)
         return {w for s, _ in threads for w in self.steps[s]} | ({None} if any(s in self.regions for s, _ in threads) else set())
 
     def accepts(self, words: list[bytes], at: int) -> bool:
         """Whether the wording stands from place ``at`` on."""
+        words = words if isinstance(words, Words) else Words(words)
         threads = self._closed({(0, -1)}, words, at)
         for i in range(at, len(words)):
             moved = {(to, -1) for s, _ in threads for to in self.steps[s].get(words[i], ())}
