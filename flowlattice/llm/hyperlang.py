@@ -34,6 +34,8 @@ SAMPLE = 1500
 FIT_TASKS, LANGUAGES = 12, 2000
 #: Documents whose counts are multiplied at once, and their characters at most (one document may exceed them).
 CHUNK, CHUNK_CHARS = 256, 1_500_000
+#: Trigrams whose vectors are held at once.
+GRAMS = 2048
 SEED = 20_011
 
 
@@ -87,9 +89,9 @@ class Encoder:
         table = np.stack([self.letter(int(c)) for c in alphabet])
         first, second = np.roll(table, 2, axis=1), np.roll(table, 1, axis=1)
         doc = np.repeat(np.arange(len(rows)), lengths)
-        for lo in range(0, len(seen), 8192):
-            part = seen[lo : lo + 8192]
-            inside = slice(None) if len(seen) <= 8192 else (grams >= lo) & (grams < lo + len(part))
+        for lo in range(0, len(seen), GRAMS):
+            part = seen[lo : lo + GRAMS]
+            inside = slice(None) if len(seen) <= GRAMS else (grams >= lo) & (grams < lo + len(part))
             counts = np.bincount(doc[inside] * len(part) + (grams[inside] - lo), minlength=len(rows) * len(part))
             bound = first[part // (k * k)] * second[part // k % k] * table[part % k]
             out += counts.reshape(len(rows), len(part)).astype(np.float32) @ bound.astype(np.float32)
