@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowlattice.functions.materialise import written
 from flowlattice.plans.assessment import aggregate, scored
 from flowlattice.plans.evidence import ASSESSMENT_TYPE, EVIDENCE
 from flowlattice.plans.report import reports
@@ -46,4 +47,5 @@ def demo_bundle(spark: SparkSession, typologies: Sequence[str] | None = None, ge
     """evidence, assessments and reports of the demonstration."""
     e = demo_evidence(spark, typologies, accounts)
     a = scored(aggregate(e))
+    a = a if accounts is None else written(a, "assessments")  # of any number of accounts, and read by the reports too
     return {"evidence": e, "assessments": a, "reports": reports(a, generated_at or START)}

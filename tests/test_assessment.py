@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from flowlattice.plans.assessment import aggregate, level, scored
 from flowlattice.plans.evidence import EVIDENCE, violations
 from flowlattice.plans.investigate import detect, investigation
+from flowlattice.plans.queries import queries
 from flowlattice.plans.report import ACTIONS, DISCLAIMER, reports
 from flowlattice.sources.demo import ACCOUNT, ROWS, demo_bundle, demo_evidence
 
@@ -103,3 +104,12 @@ def test_investigation_sees_beyond_its_own_edges(tx):
     assert r.typologies_detected == ["CYCLE"]
     assert investigation(tx(*ring), "A", hops=1).count() == 0 and investigation(tx(*ring), "Q").count() == 0
     assert detect(tx(*ring), typologies=[]).count() == 0
+
+
+def test_evidence_of_any_number_of_accounts_is_not_sent_to_the_driver(spark):
+    """Written evidence is far smaller than its rows, so its size on disk must not bring a broadcast about."""
+    accounts = spark.range(40).select(F.col("id").cast("string").alias("primary_account_id"))
+    b = demo_bundle(spark, accounts=accounts)
+    for df in (aggregate(b["evidence"]), b["assessments"], queries()["demo_bundle"](spark, "/root/testdata/sf0.001")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert b["reports"].count() == 40
