@@ -10,7 +10,7 @@ from flowlattice.operators import feature_state
 from flowlattice.operators import features as fe
 from flowlattice.operators.anomaly import anomaly_scores
 from flowlattice.operators.deviation import deviations
-from flowlattice.operators.sketched_median import RANK_ERROR
+from flowlattice.operators.sketched_median import RANK_ERROR, exact_by_sketches
 from flowlattice.operators.smurfing import smurfing
 from flowlattice.operators.structuring import structuring
 from flowlattice.plans.queries import DAY, EV, FEATURES, HOUR, TX, _features, _query, _r, _ref, _tx
@@ -54,8 +54,8 @@ def median_rank_error(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {EV} SELECT account_id, coalesce(median(oa) FILTER (o = 1), 0)::DOUBLE AS median_outgoing_amount, coalesce(median(ia) FILTER (i = 1), 0)::DOUBLE AS median_incoming_amount FROM ev GROUP BY account_id")
 def agg_median_sketched(spark: SparkSession, d: str) -> DataFrame:
-    """Medians by sketches; exact here, as no account has more amounts than a sketch holds."""
-    return feature_state.sketched_medians(fe.account_events(_tx(spark, d)))
+    """Medians by sketches, made exact among the amounts that the sketches point to."""
+    return exact_by_sketches(fe.account_events(_tx(spark, d)))
 
 
 # ---- patterns

@@ -14,7 +14,7 @@ from flowlattice.operators import anomaly
 from flowlattice.operators import feature_state as fs
 from flowlattice.operators import features as fe
 from flowlattice.operators.deviation import cusum, deviations
-from flowlattice.operators.sketched_median import K, RANK_ERROR, sketched_medians
+from flowlattice.operators.sketched_median import K, RANK_ERROR, amount_counts, exact_by_sketches, refined_medians, role_sketches, sketched_medians
 from flowlattice.operators.smurfing import smurfing
 from flowlattice.operators.structuring import structuring
 from flowlattice.plans.evidence import stripped_json, violations, without_label_keys
@@ -257,3 +257,14 @@ def test_attempts_across_splits(spark, tmp_path):
             assert sorted((x.attempt_id, x.typology, tuple(t.sender_account for t in x.transactions)) for x in got) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_refined_medians_of_many_amounts_are_exact(spark):
+    """More amounts than a sketch holds, on both sides; and with sketches of other amounts, which point to the wrong place."""
+    n = 12_001
+    e = spark.range(n, numPartitions=8).select(F.lit("hub").alias("account_id"), F.lit(1).alias("out"), (F.col("id") % 2).cast("int").alias("inc"), (F.col("id") * 7919 % n * 0.37).alias("out_amount"), F.col("id").cast("double").alias("in_amount"))
+    want = statistics.median([i * 7919 % n * 0.37 for i in range(n)]), statistics.median(range(1, n, 2))
+    for shift in (None, 1e6, -1e6):
+        own = exact_by_sketches(e) if shift is None else refined_medians(amount_counts(e), role_sketches(e.withColumn("out_amount", F.lit(shift)).withColumn("in_amount", F.lit(shift))))
+        (r,) = own.collect()
+        assert (r.median_outgoing_amount, r.median_incoming_amount) == want
