@@ -1,14 +1,15 @@
 """Account features as a state that parts are merged into, so that a new day is added without reading the history.
 
-A state is four tables.  ``totals`` has a row an account: counts, sums (decimals, and doubles where those don't fit), largest
+A state is five tables.  ``totals`` has a row an account: counts, sums (decimals, and doubles where those don't fit), largest
 amounts, mergeable quantile sketches of amounts, first and last time, and gaps.  ``values`` has each account's
-counterparties, banks, formats and currencies; ``hours`` its transactions by hour; ``labels`` the counts of labels.
+counterparties, banks, formats and currencies; ``hours`` its transactions by hour; ``labels`` the counts of labels; ``amounts``
+how often it paid and received an amount.
 All combine on the map side, so a busy account spreads over tasks.
 
 Parts follow each other in time for every account: merging adds the gap between the last time of one and the first of the
 next, and an account whose parts overlap is an error, as gaps inside the overlap can't be known any more.
 
-Medians come from sketches (see sketched_median).
+Medians are exact: the sketches tell where among the amounts they lie (see sketched_median).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlattice.operators.features import FEATURES, FeatureConfig, account_events, distinct_values, gaps, hour_counts, label_totals, made_features
-from flowlattice.operators.sketched_median import K, sketched_median, sketched_medians  # noqa: F401
+from flowlattice.operators.sketched_median import K, amount_counts, refined_medians, sketched_medians  # noqa: F401
 from flowlattice.sources.feature_store import FeatureStore
 
 _SUMS = {"total_outgoing_amount": "out_amount", "total_incoming_amount": "in_amount", "low_value_outgoing_amount": "low_amount", "near_threshold_outgoing_value": "near_amount"}
@@ -34,6 +35,7 @@ class State:
     values: DataFrame
     hours: DataFrame
     labels: DataFrame
+    amounts: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -53,7 +55,7 @@ def folded(tx: DataFrame, config: FeatureConfig = FeatureConfig()) -> State:
         F.min("t").alias("first_t"), F.max("t").alias("last_t"),
     )
     totals = totals.join(gaps(e, config.rapid_gap_minutes), "account_id", "left").fillna(0, list(_GAPS))
-    return State(totals, distinct_values(e), hour_counts(e), label_totals(e))
+    return State(totals, distinct_values(e), hour_counts(e), label_totals(e), amount_counts(e))
 
 
 def merged(*parts: State, rapid_minutes: float = 60.0) -> State:
@@ -73,7 +75,8 @@ def merged(*parts: State, rapid_minutes: float = 60.0) -> State:
     values = all_["values"].groupBy("account_id", "kind", "value").agg(F.max("out").alias("out"), F.max("inc").alias("inc"))
     hours = all_["hours"].groupBy("account_id", "hour").agg(F.sum("n").alias("n"))
     labels = all_["labels"].groupBy("account_id").agg(F.sum("event_count").alias("event_count"), F.sum("laundering_event_count").alias("laundering_event_count"))
-    return State(totals, values, hours, labels)
+    amounts = all_["amounts"].groupBy("account_id", "role", "x").agg(F.sum("n").alias("n"))
+    return State(totals, values, hours, labels, amounts)
 
 
 def features_of(state: State, accounts: DataFrame | None = None) -> DataFrame:
@@ -82,8 +85,9 @@ def features_of(state: State, accounts: DataFrame | None = None) -> DataFrame:
     exact = {n: F.coalesce(F.col(n).cast("double") + F.col(f"{n}_rest"), F.col(n).cast("double"), F.col(f"{n}_rest"), F.lit(0.0)) for n in _SUMS}
     t = t.select(
         "account_id", *_COUNTS, *(v.alias(n) for n, v in exact.items()), *(F.greatest(c, F.lit(0.0)).alias(c) for c in ("max_outgoing_amount", "max_incoming_amount")), *_GAPS,
-        F.coalesce(sketched_median(F.col("outgoing_sketch"), F.col("outgoing_count")), F.lit(0.0)).alias("median_outgoing_amount"), F.coalesce(sketched_median(F.col("incoming_sketch"), F.col("incoming_count")), F.lit(0.0)).alias("median_incoming_amount"),
     )
+    sketches = state.totals.select("account_id", F.col("outgoing_sketch").alias("os"), F.col("outgoing_count").alias("o"), F.col("incoming_sketch").alias("is"), F.col("incoming_count").alias("i"))
+    t = t.join(refined_medians(state.amounts, sketches), "account_id", "left")
     return made_features(t, state.values, state.hours, accounts).select(*FEATURES)
 
 

@@ -15,6 +15,7 @@ from flowlattice.operators import feature_state as fs
 from flowlattice.operators import features as fe
 from flowlattice.operators.deviation import cusum, deviations
 from flowlattice.operators.sketched_median import K, RANK_ERROR, amount_counts, exact_by_sketches, refined_medians, role_sketches, sketched_medians
+from flowlattice.plans.queries import _r
 from flowlattice.operators.smurfing import smurfing
 from flowlattice.operators.structuring import structuring
 from flowlattice.plans.evidence import stripped_json, violations, without_label_keys
@@ -268,3 +269,16 @@ def test_refined_medians_of_many_amounts_are_exact(spark):
         own = exact_by_sketches(e) if shift is None else refined_medians(amount_counts(e), role_sketches(e.withColumn("out_amount", F.lit(shift)).withColumn("in_amount", F.lit(shift))))
         (r,) = own.collect()
         assert (r.median_outgoing_amount, r.median_incoming_amount) == want
+
+
+def test_a_state_keeps_medians_of_many_amounts_exact(spark, tx):
+    rows = [(i * 7, "A", f"B{i % 3}", float(i * 7919 % 6007)) for i in range(6007)]
+    df = tx(*rows).cache()
+    at = F.lit(START + timedelta(minutes=7 * 2500))
+    state = fs.merged(fs.folded(df.where(F.col("timestamp") < at)), fs.folded(df.where(F.col("timestamp") >= at)))
+    assert fs.features_of(state).where("account_id = 'A'").first().median_outgoing_amount == 3003.0
+
+
+def test_results_are_rounded_as_sql_does(spark):
+    (r,) = spark.range(1).select(_r(F.lit(3118.29) / 56).alias("x"), _r(F.lit(-0.00005)).alias("y"), _r(F.lit(float("nan"))).alias("z")).collect()
+    assert (r.x, r.y) == (55.6838, -0.0001) and r.z != r.z
