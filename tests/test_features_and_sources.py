@@ -143,3 +143,14 @@ def test_formats(spark):
     r = spark.sql("select timestamp_ntz'2024-01-02 03:04:05.5' a, timestamp_ntz'2024-01-02 00:00:00' b, 1234567.891D m, 12.35D s")
     r = r.select(iso(F.col("a")).alias("a"), iso(F.col("b")).alias("b"), money(F.col("m")).alias("m"), money(F.col("m"), True).alias("c"), one_place(F.col("s")).alias("s")).first()
     assert tuple(r) == ("2024-01-02T03:04:05.500000", "2024-01-02T00:00:00", "$1,234,567.89", "$1.2M", "12.4")
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    """Places run on over many ranges, repeated numbers and nulls, and no range holds all rows."""
+    df = spark.range(5000, numPartitions=7).select(F.when(F.col("id") % 50 != 0, F.col("id") * 7919 % 5000 % 4000).alias("x"))
+    got = src.numbered(df, "x", "i", rows=100)
+    want = sorted((r.x is None, r.x or 0) for r in df.collect())
+    assert [(r.x is None, r.x or 0) for r in sorted(got.collect(), key=lambda r: r.i)] == want
+    assert sorted(r.i for r in got.select("i").collect()) == list(range(5000))
+    assert src.numbered(df.where("false"), "x", "i").count() == 0
+    assert "row_number() windowspecdefinition(__range" in got._jdf.queryExecution().optimizedPlan().toString()
