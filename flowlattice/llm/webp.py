@@ -3,8 +3,9 @@
 Decoding.  ``decode_stream`` decodes one VP8L bit stream in plain Python, with everything the
 format has: several prefix code groups, back-references, colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms.  ``decode_streams`` decodes many at once
-in numpy: every stream is a lane, and each step yields one pixel of every lane.  Streams with
-several code groups, or with codes of over ``DEEP`` bits, go the first way.
+in numpy: every stream is a lane, and each step reads one token of every lane; copies and cache
+hits then get their pixels all at once.  Streams with several code groups, with codes of over
+``DEEP`` bits, or that read cache slots before they are set, go the first way.
 
 Encoding.  A payload's bytes are the samples of an image of ``WIDTH`` pixels, blue, green, red
 and alpha in turn, in strips of up to ``ROWS`` rows.  One strip makes a simple file; several make
@@ -34,8 +35,12 @@ WIDTH, ROWS = 16, 128
 UNIT = 4 * WIDTH
 CACHE_BITS = 6
 DEEPEST, DEEP = 10, 11
-#: Pixels that are encoded or decoded at once, about.
+#: Pixels that are encoded at once, about.
 BATCH = 1_000_000
+#: Pixels, and payloads at most, that are decoded at once: more lanes share the steps' cost.
+LANES, FILES = 2_000_000, 4096
+#: Steps between two looks for lanes that have ended.
+SWEEP = 16
 #: Copies of fewer pixels than this are not worth it.
 SHORTEST = 3
 #: Tiles of transforms are 2^TILE pixels wide and high.
@@ -122,7 +127,7 @@ def tables(lengths: np.ndarray, lone: np.ndarray, depth: int) -> np.ndarray:
     single = np.flatnonzero(lone >= 0)
     n = np.concatenate((lengths[lane, symbol], np.zeros(len(single), lengths.dtype))).astype(np.int64)
     lane, symbol = np.concatenate((lane, single)), np.concatenate((symbol, lone[single]))
-    order = np.argsort((lane * 16 + n) * 4096 + symbol, kind="stable")
+    order = np.argsort((lane * 16 + n).astype(np.uint16 if len(lengths) <= 4096 else np.int64), kind="stable")  # symbols are in order already
     full = np.repeat((symbol << 4 | n)[order].astype(np.int32), 1 << (depth - n[order]))  # by codes from their first bit on
     return full.reshape(len(lengths), 1 << depth)[:, REVERSALS[depth]]
 
@@ -420,8 +425,12 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
         groups = read_groups([heads[i].bits for i in lanes], [1 << b if b else 0 for b in caches])
         deep = np.max([lengths.max(axis=1, initial=0) for lengths, _ in groups], axis=0) if lanes else np.zeros(0)
         flat = np.flatnonzero(deep <= DEEP)
-        own = [lanes[i] for i in flat]
-        done = dict(zip(own, _lockstep([heads[i] for i in own], [caches[i] for i in flat], [(a[flat], b[flat]) for a, b in groups]), strict=True))
+        held = np.cumsum([heads[lanes[i]].coded * heads[lanes[i]].height for i in flat]) // LANES
+        done = {}
+        for part in np.split(flat, np.flatnonzero(np.diff(held)) + 1):
+            own = [lanes[i] for i in part]
+            got = _lockstep([heads[i] for i in own], [caches[i] for i in part], [(a[part], b[part]) for a, b in groups])
+            done |= {i: pixels for i, pixels in zip(own, got, strict=True) if pixels is not None}
     except IndexError as e:
         raise ValueError("a stream is cut short") from e
     out = []
@@ -433,6 +442,11 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     return undo(heads, out)
 
 
+#: By symbol of a code of code lengths: further bits, and the least number of lengths it stands for.
+_RUN_BITS = np.array([0] * 16 + [2, 3, 7], np.int64)
+_RUN_LEAST = np.array([1] * 16 + [3, 3, 11], np.int64)
+
+
 def read_groups(lanes: list[Bits], caches: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
     """read_group() of all lanes: for each channel the lengths (a row a lane), and lone symbols (else -1)."""
     n, out = len(lanes), []
@@ -446,22 +460,27 @@ def read_groups(lanes: list[Bits], caches: list[int]) -> list[tuple[np.ndarray,
         lengths, lone = np.zeros((n, int(size.max(initial=0))), np.int64), np.full(n, -1)
         rows, which, most = [], [], []
         for i, bits in enumerate(lanes):
-            if bits.read(1):
-                code_bits = bits.at - 1
-                bits.at = code_bits
+            ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 9], "little") >> (bits.at & 7)
+            if ahead & 3 == 1:  # a lone symbol
+                wide = 8 if ahead & 4 else 1
+                lone[i] = ahead >> 3 & ((1 << wide) - 1)
+                bits.at += 3 + wide
+                if bits.at > bits.end:
+                    raise ValueError("the stream is cut short")
+                if lone[i] >= size[i]:
+                    raise ValueError("a prefix code is damaged")
+                continue
+            if ahead & 1:
                 code = read_code(bits, int(size[i]))
                 if max(code.symbols) >= size[i]:
                     raise ValueError("a prefix code is damaged")
-                if len(code.symbols) == 1:
-                    lone[i] = code.symbols[0]
-                else:
-                    lengths[i, code.symbols] = code.lengths
+                lengths[i, code.symbols] = code.lengths
                 continue
-            count = 4 + bits.read(4)
-            word = tuple(bits.read(min(30, 3 * count - j)) for j in range(0, 3 * count, 30))
+            count = 4 + (ahead >> 1 & 15)
+            word = ahead >> 5 & ((1 << 3 * count) - 1)
+            bits.at += 5 + 3 * count
             if (count, word) not in seen:  # streams of one writer often share this code
-                value = sum(v << 30 * j for j, v in enumerate(word))
-                used = {LENGTH_ORDER[j]: value >> 3 * j & 7 for j in range(count) if value >> 3 * j & 7}
+                used = {LENGTH_ORDER[j]: word >> 3 * j & 7 for j in range(count) if word >> 3 * j & 7}
                 if not used:
                     raise ValueError("a prefix code is empty")
                 code = Code(list(used), list(used.values()))
@@ -483,8 +502,8 @@ def read_groups(lanes: list[Bits], caches: list[int]) -> list[tuple[np.ndarray,
                 symbol, used = got >> 4, got & 15
                 v = (v >> used.astype(np.uint64)).astype(np.int64)
                 plain, again = symbol < 16, symbol == 16
-                more = np.select([again, symbol == 17, symbol == 18], [2, 3, 7], 0)
-                step = np.select([again, symbol == 17, symbol == 18], [3 + (v & 3), 3 + (v & 7), 11 + (v & 127)], 1)
+                more = _RUN_BITS[symbol]
+                step = _RUN_LEAST[symbol] + (v & ((1 << more) - 1))
                 pos[live] = p + used + more
                 if (at[live] + step > limit[live]).any():
                     raise ValueError("a prefix code is damaged")
@@ -514,115 +533,148 @@ def read_groups(lanes: list[Bits], caches: list[int]) -> list[tuple[np.ndarray,
     return out
 
 
-def _lockstep(heads: list[Head], cache_bits: list[int], groups: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """The coded pixels of all lanes; step i yields pixel i of every lane that has one."""
-    if not heads:
-        return []
-    sizes = np.array([h.coded * h.height for h in heads])
-    order = np.argsort(-sizes, kind="stable")
-    own = [heads[i] for i in order]
-    count = sizes[order]
-    data = b"".join(h.bits.data for h in own)
-    starts = np.concatenate(([0], np.cumsum([len(h.bits.data) for h in own])[:-1])) * 8
-    pos = starts + np.array([h.bits.at for h in own])
-    ends = starts + np.array([h.bits.end for h in own])
-    window = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    luts, masks, rows, lone = [], [], [], []
+#: A length or distance by its prefix: least value, and number of further bits.
+_LEAST = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << ((c - 2) >> 1)) + 1 for c in range(40)], np.int64)
+_FURTHER = np.array([0 if c < 4 else (c - 2) >> 1 for c in range(40)], np.int64)
+
+
+def _tokens(heads: list[Head], count: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+    """All lanes' tokens, one of every lane a step, as what they say doesn't depend on pixels.
+
+    First lane, pixel and the four channels' symbols; then lane, pixel, length and distance code of back-references.
+    """
+    data = b"".join(h.bits.data for h in heads) + b"\0" * 32 * SWEEP
+    starts = np.concatenate(([0], np.cumsum([len(h.bits.data) for h in heads])[:-1])) * 8
+    pos = starts + np.array([h.bits.at for h in heads])
+    ends = starts + np.array([h.bits.end for h in heads])
+    window = np.ndarray(len(data) - 7, "<i8", data, strides=(1,))  # of its 64 bits, a token takes up to 7 + 50
+    luts, masks, rows = [], [], []
     for lengths, single in groups:
         depth = max(int(lengths.max(initial=0)), 1)
-        luts.append(tables(lengths[order], single[order], depth).ravel())
-        masks.append(np.uint64((1 << depth) - 1))
-        rows.append(np.arange(len(own), dtype=np.int64) << depth)
-        lone.append(bool((single >= 0).all()))
-    bits = np.array(cache_bits)[order]
-    top = int(bits.max())
-    cache = np.zeros(len(own) << top, np.uint32) if top else None
-    cached, slot = bits > 0, np.uint32(32) - bits.astype(np.uint32)
-    slots = np.arange(len(own), dtype=np.int64) << top
-    widths = np.array([h.coded for h in own])
-    near = {int(w): distances(int(w)) for w in np.unique(widths)}
-    near = np.stack([near[int(w)] for w in widths]) if len(near) > 1 else near[int(widths[0])][None, :]
-    base = np.concatenate(([0], np.cumsum(count)[:-1]))
-    out = np.zeros(int(count.sum()), np.uint32)
-    left, gap = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-    u = np.uint64
-
-    def symbol(k: int, v: np.ndarray, who) -> tuple[np.ndarray, np.ndarray]:
-        got = luts[k][rows[k][who] + (v & masks[k]).astype(np.int64)]
-        return got >> 4, got & 15
-
-    def value(code: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        more = np.maximum((code - 2) >> 1, 0)
-        extra = (v & ((u(1) << more.astype(u)) - u(1))).astype(np.int64)
-        return np.where(code < 4, code + 1, ((2 + (code & 1)) << more) + extra + 1), np.where(code < 4, 0, more)
-
-    copying = 0
-    for i in range(int(count[0])):
-        live = int(np.searchsorted(-count, -i, "left"))  # lanes of more than i pixels
-        who = slice(0, live) if not copying else np.flatnonzero(left[:live] == 0)
-        p = pos[who]
-        v = window[p >> 3] >> (p & 7).astype(u)
-        s, n = symbol(0, v, who)
-        v >>= n.astype(u)
-        used = n
-        literal = s < LITERALS
-        all_literal = literal.all()
-        argb = s.astype(np.uint32) << np.uint32(8)
+        luts.append(tables(lengths, single, depth).astype(np.uint16).ravel())
+        masks.append((1 << depth) - 1)
+        rows.append(np.arange(len(heads), dtype=np.int64) << depth)
+    lane, at, total = np.arange(len(heads), dtype=np.int32), np.zeros(len(heads), np.int32), count.astype(np.int32)
+    steps, refs, i = [], [], 0
+    while True:
+        if i % SWEEP == 0:  # lanes that end in between read on, and what they read is dropped below
+            live = np.flatnonzero(at < total)
+            if (pos[live] > ends[live]).any():
+                raise ValueError("a stream is cut short")
+            if not len(live):
+                break
+            pos, ends, lane, at, total = pos[live], ends[live], lane[live], at[live], total[live]
+            rows = [r[live] for r in rows]
+        i += 1
+        v = window[pos >> 3] >> (pos & 7)
+        green = luts[0][rows[0] + (v & masks[0])]
+        used = (green & 15).astype(np.int64)
+        v >>= used
         w = v
-        for k, shift in ((1, 16), (2, 0), (3, 24)):
-            t, n = symbol(k, w, who)
-            argb |= t.astype(np.uint32) << np.uint32(shift)
-            if not lone[k]:
-                w = w >> n.astype(u)
-                used = used + n
-        if all_literal:
-            pos[who] = p + used
-        else:
-            index = np.arange(live) if isinstance(who, slice) else who
-            first = symbol(0, window[p >> 3] >> (p & 7).astype(u), who)[1]
-            pos[who] = p + np.where(literal, used, first)
-            hit = np.flatnonzero(s >= LITERALS + LENGTHS)
-            if len(hit):
-                argb[hit] = cache[slots[index[hit]] + s[hit] - (LITERALS + LENGTHS)]
-            ref = np.flatnonzero(~literal & (s < LITERALS + LENGTHS))
+        symbols = []
+        for k in (1, 2, 3):
+            got = luts[k][rows[k] + (w & masks[k])]
+            n = got & 15
+            if k < 3:
+                w = w >> n
+            used += n
+            symbols.append(got)
+        other = np.flatnonzero(green >= LITERALS << 4)
+        after = at + np.int32(1)
+        if len(other):
+            got = green[other]
+            used[other] = got & 15
+            is_ref = got < LITERALS + LENGTHS << 4
+            ref = other[is_ref]
             if len(ref):
-                lane, x = index[ref], v[ref]
-                n, more = value(s[ref] - LITERALS, x)
-                x = x >> more.astype(u)
-                code, deep = symbol(4, x, lane)
-                d, further = value(code, x >> deep.astype(u))
-                pos[lane] += more + deep + further
-                d = np.where(d <= 120, near[lane if len(near) > 1 else 0, np.minimum(d, 120)], d - 120)
-                if (d > i).any() or (n > count[lane] - i).any():
-                    raise ValueError("a back-reference leaves the image")
-                left[lane], gap[lane] = n, d
-                argb[ref] = out[base[lane] + i - d]
-                left[lane] -= 1
-                copying = 1
-        if isinstance(who, slice):
-            out[base[:live] + i] = argb
-            now = argb
-        else:
-            out[base[who] + i] = argb
-            on = np.flatnonzero(left[:live] > 0)
-            on = on[~np.isin(on, who, assume_unique=True)]
-            if len(on):
-                out[base[on] + i] = out[base[on] + i - gap[on]]
-                left[on] -= 1
-            now = out[base[:live] + i]
-            copying = int((left[:live] > 0).any())
-        if cache is not None:
-            if cached[:live].all():
-                cache[slots[:live] + ((now * np.uint32(CACHE_FACTOR)) >> slot[:live])] = now
-            else:
-                c = np.flatnonzero(cached[:live])
-                cache[slots[c] + ((now[c] * np.uint32(CACHE_FACTOR)) >> slot[c])] = now[c]
-    if (pos > ends).any():
+                x, code = v[ref], (got[is_ref] >> 4) - LITERALS
+                more = _FURTHER[code]
+                n = _LEAST[code] + (x & ((1 << more) - 1))
+                x >>= more
+                got = luts[4][rows[4][ref] + (x & masks[4])]
+                code = got >> 4
+                x >>= got & 15
+                further = _FURTHER[code]
+                used[ref] += more + further + (got & 15)
+                after[ref] += (n - 1).astype(np.int32)
+                refs.append((lane[ref], at[ref], n, _LEAST[code] + (x & ((1 << further) - 1))))
+        pos = pos + used
+        steps.append((lane, at, green, *symbols, pos > ends))
+        at = after
+    lane, at, *symbols, beyond = (np.concatenate(c) for c in zip(*steps, strict=True))
+    own = np.flatnonzero(at < count[lane])
+    if beyond[own].any():
         raise ValueError("a stream is cut short")
-    result: list[np.ndarray] = [None] * len(own)  # type: ignore[list-item]
-    for at, i in enumerate(order):
-        result[i] = out[base[at] : base[at] + count[at]]
-    return result
+    lane, at, *symbols = (c[own] for c in (lane, at, *symbols))
+    kept = tuple(np.concatenate(c) for c in zip(*refs, strict=True)) if refs else (np.zeros(0, np.int64),) * 4
+    inside = kept[1] < count[kept[0]]
+    return [lane, at, *symbols], tuple(c[inside] for c in kept)
+
+
+def _followed(source: np.ndarray, at: np.ndarray) -> None:
+    """Has the places ``at`` point to where their sources come from in the end; others point to themselves."""
+    while len(at):
+        near = source[at]
+        far = source[near]
+        source[at] = far
+        at = at[far != near]
+
+
+def _lockstep(heads: list[Head], cache_bits: list[int], groups: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray | None]:
+    """The coded pixels of all lanes; None: a lane that reads cache slots before they are set.
+
+    Every pixel that isn't a literal has a source before it.  A copy's is known.  A hit's is the last
+    pixel of its slot; a hit has the slot it names, a literal that of its hash, a copy its source's.
+    """
+    if not heads:
+        return []
+    count = np.array([h.coded * h.height for h in heads])
+    base = np.concatenate(([0], np.cumsum(count)))
+    (lane, at, green, *symbols), (r_lane, r_at, r_n, r_gap) = _tokens(heads, count, groups)
+    at = base[lane] + at
+    out, source = np.zeros(int(base[-1]), np.uint32), np.arange(base[-1], dtype=np.int32)
+    is_hit = green >= LITERALS + LENGTHS << 4
+    plain, hit = np.flatnonzero(green < LITERALS << 4), np.flatnonzero(is_hit)
+    argb = (green[plain] >> 4).astype(np.uint32) << np.uint32(8)
+    for got, shift in zip(symbols, (16, 0, 24), strict=True):
+        argb |= (got[plain] >> 4).astype(np.uint32) << np.uint32(shift)
+    out[at[plain]] = argb
+    copies = np.zeros(0, np.int64)
+    if len(r_n):
+        widths, shape = np.unique([h.coded for h in heads], return_inverse=True)
+        near = np.stack([distances(int(w)) for w in widths])
+        gap = np.where(r_gap <= 120, near[shape[r_lane], np.minimum(r_gap, 120)], r_gap - 120)
+        if (gap > r_at).any() or (r_n > count[r_lane] - r_at).any():
+            raise ValueError("a back-reference leaves the image")
+        copies = np.repeat(base[r_lane] + r_at - (np.cumsum(r_n) - r_n), r_n) + np.arange(int(r_n.sum()))
+        source[copies] = copies - np.repeat(gap, r_n)
+        _followed(source, copies)
+    bad: set[int] = set()
+    hits = at[hit]
+    if len(hits):
+        bits = np.maximum(cache_bits, 1).astype(np.uint32)
+        slot = (out * np.uint32(CACHE_FACTOR) >> np.repeat(np.uint32(32) - bits, count)).astype(np.uint16)
+        slot[hits] = (green[hit] >> 4) - (LITERALS + LENGTHS)
+        slot[copies] = slot[source[copies]]
+        from_cache = np.zeros(len(out), bool)
+        from_cache[hits] = True
+        top = int(bits.max())
+        for lo in range(0, len(heads), 1 << 16 - top):  # as many lanes as 16 bits can tell apart
+            hi = min(lo + (1 << 16 - top), len(heads))
+            a, z = base[lo], base[hi]
+            key = np.repeat(np.arange(hi - lo, dtype=np.uint16) << np.uint16(top), count[lo:hi]) | slot[a:z]
+            order = np.argsort(key, kind="stable")
+            asks = from_cache[a:z][order]
+            last = np.maximum.accumulate(np.where(asks, 0, np.arange(len(order))))
+            asks = np.flatnonzero(asks)
+            mine, theirs = order[asks], order[last[asks]]
+            unset = (key[mine] != key[theirs]) | from_cache[a + theirs]
+            source[a + mine] = np.where(unset, mine, theirs) + a
+            bad |= set((np.searchsorted(base, a + mine[unset], "right") - 1).tolist())
+        _followed(source, np.concatenate((hits, copies)))
+    for i in (copies, hits):
+        out[i] = out[source[i]]
+    return [None if i in bad else out[base[i] : base[i + 1]] for i in range(len(heads))]
 
 
 # ---------------------------------------------------------------- containers
@@ -799,8 +851,9 @@ def transformed(pixels: np.ndarray) -> tuple[Accumulator, np.ndarray]:
     for v, n in ((0x2F, 8), (WIDTH - 1, 14), (h - 1, 14), (1, 1), (0, 3)):
         acc.put(v, n)
     check = zlib.crc32(pixels.tobytes())
-    colours = np.unique(pixels)
-    if len(colours) <= 16 or len(colours) <= 256 and len(pixels) >= 8 * len(colours):
+    few = max(16, min(256, len(pixels) // 8))
+    # most strips have more colours in their first pixels already
+    if len(set(pixels[: 2 * few].tolist())) <= few and len(colours := np.unique(pixels)) <= few:
         acc.put(1 | PALETTE << 1 | len(colours) - 1 << 3, 11)
         steps = np.diff(np.concatenate(([0], colours)).astype("<u4").view(np.uint8).reshape(-1, 4).astype(np.int16), axis=0) & 255
         put_small(acc, _argb(steps.astype(np.uint8)).tolist())
@@ -861,7 +914,7 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes of lengths, with their first bit lowest."""
     lane, symbol = np.nonzero(lengths)
     n = lengths[lane, symbol]
-    order = np.argsort((lane * 16 + n) * 2048 + symbol, kind="stable")
+    order = np.argsort((lane * 16 + n).astype(np.uint16 if len(lengths) <= 4096 else np.int64), kind="stable")  # symbols are in order already
     unit = 1 << (DEEPEST - n[order])
     place = (np.cumsum(unit) - unit) & ((1 << DEEPEST) - 1)  # every code fills its 2^DEEPEST
     out = np.zeros(lengths.shape, np.int64)
@@ -947,23 +1000,22 @@ def encode_streams(strips: list[np.ndarray]) -> list[bytes]:
     green[lit], green[hit], green[ref] = channels[0], LITERALS + LENGTHS + slot[emit[hit]], LITERALS + l_code
     symbols = [(who, green), *((who[lit], c) for c in channels[1:]), (who[ref], d_code)]
     sizes = [a + (1 << CACHE_BITS if k == 0 else 0) for k, a in enumerate(ALPHABETS)]
-    counts = [np.bincount(a * m + s, minlength=n * m).reshape(n, m) for (a, s), m in zip(symbols, sizes, strict=True)]
+    spots = [a * m + s for (a, s), m in zip(symbols, sizes, strict=True)]
+    counts = [np.bincount(at, minlength=n * m).reshape(n, m) for at, m in zip(spots, sizes, strict=True)]
     lens = [code_lengths(c) for c in counts]
-    codes = [canonical(x) for x in lens]
+    found = [(canonical(x) << 4 | x).ravel()[at] for x, at in zip(lens, spots, strict=True)]
+    codes, bits = [x >> 4 for x in found], [x & 15 for x in found]
     # the body: two values for each symbol with what belongs to it
-    v1, n1 = codes[0][who, green], lens[0][who, green]
+    v1, n1 = codes[0], bits[0]
     v2, n2 = np.zeros(len(emit), np.int64), np.zeros(len(emit), np.int64)
-    a = who[lit]
-    v1[lit] |= codes[1][a, channels[1]] << n1[lit]
-    n1[lit] += lens[1][a, channels[1]]
-    n2[lit] = lens[2][a, channels[2]]
-    v2[lit] = codes[2][a, channels[2]] | codes[3][a, channels[3]] << n2[lit]
-    n2[lit] += lens[3][a, channels[3]]
-    a = who[ref]
+    v1[lit] |= codes[1] << n1[lit]
+    n1[lit] += bits[1]
+    v2[lit] = codes[2] | codes[3] << bits[2]
+    n2[lit] = bits[2] + bits[3]
     v1[ref] |= l_more << n1[ref]
     n1[ref] += l_bits
-    v2[ref] = codes[4][a, d_code] | d_more << lens[4][a, d_code]
-    n2[ref] = lens[4][a, d_code] + d_bits
+    v2[ref] = codes[4] | d_more << bits[4]
+    n2[ref] = bits[4] + d_bits
     # the head: transforms, cache, one group of codes
     parts = []
     for i, acc in enumerate(heads):
@@ -1033,11 +1085,11 @@ def features(image: np.ndarray) -> str:
 
 
 def batches_of(payloads: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of payloads of about BATCH pixels together."""
+    """Ranges of payloads of about LANES pixels together."""
     lo = size = 0
     for i, n in enumerate(payloads):
         size += n // 4
-        if size >= BATCH or i + 1 - lo >= 1024:
+        if size >= LANES or i + 1 - lo >= FILES:
             yield lo, i + 1
             lo, size = i + 1, 0
     if lo < len(payloads):

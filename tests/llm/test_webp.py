@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -88,6 +89,59 @@ def test_several_code_groups_and_plain_reference():
     assert w.decode_streams([a.data()])[0][..., 1].ravel().tolist() == want
 
 
+def test_a_cache_slot_read_before_it_is_set():
+    """4 x 1 pixels: slot 1 (unset, so transparent black, which goes to slot 0), a literal, slot 0, the literal's slot."""
+    a = head(4, 1)
+    a.put(0, 1)  # no transform
+    a.put(1 | 1 << 1, 5)  # a cache of two slots
+    a.put(0, 1)  # one group
+    # green: length 1 for 7, 2 for the slots' symbols 280 and 281
+    a.put(w._NORMAL, w._NORMAL_BITS)
+    for run, n in ((7, 1), (272, 2), (0, 2)):
+        while run:
+            step = min(run, 138)
+            s, more, extra = (18, 7, step - 11) if step >= 11 else (17, 3, step - 3)
+            a.put(int(w._LENGTH_VALUES[s]) | extra << int(w._LENGTH_SIZES[s]), int(w._LENGTH_SIZES[s]) + more)
+            run -= step
+        a.put(int(w._LENGTH_VALUES[n]), int(w._LENGTH_SIZES[n]))
+    for _ in range(4):
+        a.simple(0)
+    slot = (w.CACHE_FACTOR * (7 << 8) & 0xFFFFFFFF) >> 31
+    hit = {0: (1, 2), 1: (3, 2)}  # codes 10 and 11, first bit lowest
+    for value, n in (hit[1], (0, 1), hit[0], hit[slot]):
+        a.put(value, n)
+    want = w.decode_stream(a.data())
+    assert want[..., 1].ravel().tolist() == [0, 7, 7 if slot == 0 else 0, 7]
+    assert (w.decode_streams([a.data(), *w.frames_of(w.encode_files(payloads("b" * 99))[0])[2][0][2:]])[0] == want).all()
+
+
+def test_steps_are_tokens_and_batches_share_them():
+    """600 pixels of noise, then one long copy: as many steps as tokens, not pixels."""
+    blobs = (np.random.default_rng(i).bytes(2400) + b"\0" * (64 * 128 - 2400) for i in range(100))
+    made = ((b, w.frames_of(w.encode_files([b])[0])[2][0][2]) for b in blobs)
+    blob, stream = next((b, s) for b, s in made if not w.Head(s).transforms)
+    calls = 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        got = w.decode_streams([stream])
+    finally:
+        sys.setprofile(None)
+    assert got[0].tobytes() == blob and calls < 60_000
+    assert len(list(w.batches_of([2400] * 3000))) == 1
+
+
+def test_lanes_are_decoded_in_parts(monkeypatch):
+    given_ = sample()
+    files = w.encode_files(given_)
+    monkeypatch.setattr(w, "LANES", 3000)
+    assert [x.tobytes() for x in w.decode_files(files)] == given_
+
+
 @pytest.mark.parametrize("mode", range(14))
 def test_predictors_invert(mode):
     r = np.random.default_rng(mode)
