@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -377,6 +378,45 @@ def test_a_large_bucket_loses_no_link(docs, monkeypatch, block):
     assert [root.get(x, x) for x in name[30::2]] == [root.get(x, x) for x in name[31::2]] and len({root.get(x, x) for x in name}) == 16
 
 
+def test_texts_of_many_nodes_are_not_shuffled(spark, docs, monkeypatch):
+    """Where more nodes are needed than may be broadcast, their words are read without the texts going through an exchange."""
+    plans, write = [], order_minhash.written
+    monkeypatch.setattr(order_minhash, "NEEDED", 10)
+    monkeypatch.setattr(order_minhash, "written", lambda df, tag: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if tag == "words" else None, write(df, tag))[1])
+    df = docs(*((k, None if k == 7 else f"w{k} x{k} y") for k in range(3000)))
+    need = df.where("doc_id % 10 = 3").select(order_minhash.node_of(F.col("text")).alias("node"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {bytes(r.node): r.w for r in order_minhash._words(need, df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(got[hashlib.md5(t.encode()).digest()] == order_minhash.word_hashes(t).tobytes() for t in (f"w{k} x{k} y" for k in range(3, 3000, 10)))
+    assert len(got) < 300 + 0.1 * 2700  # about one in MARKS of the others
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_blocks_of_a_connected_group_grow_with_it(spark, monkeypatch):
+    """A few nodes against many that are connected: dealt a block each, not all blocks against all, and no link is lost."""
+    monkeypatch.setattr(order_minhash, "SMALL", 4)
+    monkeypatch.setattr(order_minhash, "BLOCK", 10)
+    copies = [[f"w{i}" for i in range(50)] + [f"c{k}-{i}" for i in range(50)] for k in range(200)]  # said to be connected, and too far apart for links
+    others = [[*copies[k][:-5], *(f"o{k}-{i}" for i in range(5))] for k in (0, 77, 199)]  # each is like one copy alone
+    others += [[*copies[5][:-25], *(f"p{i}" for i in range(24 + j))] for j in range(2)]  # like each other alone
+    texts = [" ".join(w) for w in copies + others]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    nodes = order_minhash.nodes_of(df).withColumn("sk", F.array(F.lit(1).cast("long")))
+    name = [hashlib.md5(t.encode()).digest() for t in texts]
+    rows = [(1, bytearray(x), bytearray(name[0] if k < 200 else x), len(texts)) for k, x in enumerate(name)]
+    spots = spark.createDataFrame(rows, "key long, node binary, root binary, c long")
+    words = order_minhash._words(spots.select("node"), df)
+    got = {(bytes(r.a), bytes(r.b)) for r in order_minhash._blocks(spots, nodes, words).collect()}
+    pair = lambda x, y: (min(name[x], name[y]), max(name[x], name[y]))
+    assert got == {pair(200, 0), pair(201, 77), pair(202, 199), pair(203, 204)}
+    monkeypatch.setattr(order_minhash, "compare", lambda t: pa.table({"a": t["node"], "b": t["node"]}))
+    assert order_minhash._blocks(spots, nodes, words).count() == 200 + 5 * (1 + 20)
+
+
 def test_bounds_reject_no_link():
     r = random.Random(8)
     for _ in range(200):
